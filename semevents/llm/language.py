@@ -189,17 +189,19 @@ def train(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str =
     return langs, p
 
 
-def identify(docs: DataFrame, model: bytes, langs: list[str], p: np.ndarray, text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: bytes, langs: list[str], p: np.ndarray, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``lang_score`` (the best language's share of the summed probability, 0 to 1).
 
     The whole text counts. A null text, or one without a letter, is ``und`` with score 0; equal languages go to the
-    first by name. Columns of those names are replaced, others kept; repeated rows are scored alike.
+    first by name. Columns of those names are replaced, others kept (the text only if so asked);
+    repeated rows are scored alike.
     """
     docs = docs.drop("lang_pred", "lang_score")
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast((model, langs, p))  # pieces x languages, whatever the input
     k = docs.columns.index(text_col)
-    schema = widened(docs, lang_pred="string", lang_score="double")
+    kept = [i for i in range(len(docs.columns)) if keep_text or i != k]
+    schema = widened(docs.select(*[docs.columns[i] for i in kept]), lang_pred="string", lang_score="double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, langs, p = shared.value
@@ -229,7 +231,7 @@ def identify(docs: DataFrame, model: bytes, langs: list[str], p: np.ndarray, tex
                     best = int(total.argmax())
                     pred.append(langs[best])
                     score.append(float(1 / np.exp(total - total[best]).sum()))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*whole.schema.names, "lang_pred", "lang_score"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*[whole.schema.names[i] for i in kept], "lang_pred", "lang_score"])
 
     return docs.mapInArrow(run, schema)
 
@@ -238,5 +240,5 @@ def classify(docs: DataFrame, model: bytes, modulus: int = 5, held: int = 0) ->
     """doc_id, held_out, lang_pred, score for every row of ``docs``; a null doc_id is not held out and not learned."""
     held_out = F.coalesce(remainder("doc_id", modulus) == held, F.lit(False))
     langs, p = train(docs, model, learn=~held_out)
-    out = identify(docs.select("doc_id", "text", held_out.alias("held_out")), model, langs, p)
+    out = identify(docs.select("doc_id", "text", held_out.alias("held_out")), model, langs, p, keep_text=False)
     return out.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))

@@ -135,18 +135,20 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
-def encode_pieces(docs: DataFrame, model: bytes, text_col: str = "text", keep_ids: bool = True, digest: bool = False) -> DataFrame:
+def encode_pieces(docs: DataFrame, model: bytes, text_col: str = "text", keep_ids: bool = True, digest: bool = False, keep_text: bool = True) -> DataFrame:
     """``docs`` with ``ids`` (array<int>), ``n_pieces`` and ``piece_score``; nulls count as empty texts: no ids.
 
     ``digest`` adds ``ids_crc32`` (of the ids as little-endian 32-bit integers) and ``round_trip`` (decoding gives
-    the text back). Columns of those names are replaced, others kept; repeated rows are encoded alike.
+    the text back). Columns of those names are replaced, others kept (the text only if so asked);
+    repeated rows are encoded alike.
     """
     added = (["ids"] if keep_ids else []) + ["n_pieces", "piece_score"] + (["ids_crc32", "round_trip"] if digest else [])
     docs = docs.drop(*added)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a vocabulary file
     k = docs.columns.index(text_col)
     kinds = {"ids": "array<int>", "n_pieces": "int", "piece_score": "double", "ids_crc32": "bigint", "round_trip": "boolean"}
-    schema = widened(docs, **{c: kinds[c] for c in added})
+    kept = [i for i in range(len(docs.columns)) if keep_text or i != k]
+    schema = widened(docs.select(*[docs.columns[i] for i in kept]), **{c: kinds[c] for c in added})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
@@ -164,7 +166,7 @@ def encode_pieces(docs: DataFrame, model: bytes, text_col: str = "text", keep_id
                 if digest:
                     out["ids_crc32"] = pa.array([zlib.crc32(b) for b, _ in got], pa.int64())
                     out["round_trip"] = pa.array([own.decode(np.frombuffer(b, dtype="<i4")) == t for (b, _), t in zip(got, texts, strict=True)], pa.bool_())
-                yield pa.RecordBatch.from_arrays([*batch.columns, *[out[c] for c in added]], names=[*whole.schema.names, *added])
+                yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], *[out[c] for c in added]], names=[*[whole.schema.names[i] for i in kept], *added])
 
     return docs.mapInArrow(run, schema)
 

@@ -76,22 +76,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return boosting.fit(x[order], y[order])
 
 
-def score_quality(docs: DataFrame, model: boosting.Boosted, text_col: str = "text", score_col: str = "score") -> DataFrame:
+def score_quality(docs: DataFrame, model: boosting.Boosted, text_col: str = "text", score_col: str = "score", keep_text: bool = True) -> DataFrame:
     """``docs`` with ``score_col``: the probability of label 1 for each whole text.
 
-    Null and empty texts are scored by their (empty) statistics, repeated rows alike; all columns are kept, one
-    that has the name of the score is replaced.
+    Null and empty texts are scored by their (empty) statistics, repeated rows alike; all columns are kept (but for
+    the text, if so asked), one that has the name of the score is replaced.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # trees x nodes, whatever the input
     docs = docs.drop(score_col)
     k = docs.columns.index(text_col)
-    schema = widened(docs, **{score_col: "double"})
+    kept = [i for i in range(len(docs.columns)) if keep_text or i != k]
+    schema = widened(docs.select(*[docs.columns[i] for i in kept]), **{score_col: "double"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = shared.value.score(statistics(batch.column(k)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, type=pa.float64())], names=[*batch.schema.names, score_col])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], pa.array(s, type=pa.float64())], names=[*[batch.schema.names[i] for i in kept], score_col])
 
     return docs.mapInArrow(run, schema)
 
@@ -100,5 +101,5 @@ def classify(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1
     """doc_id, held_out, score, predicted for every row of ``docs``; a null doc_id is not held out and not learned."""
     held_out = F.coalesce(remainder("doc_id", modulus) == held, F.lit(False))
     model = train(docs, labels, learn=~held_out)
-    scored = score_quality(docs.select("doc_id", "text", held_out.alias("held_out")), model)
+    scored = score_quality(docs.select("doc_id", "text", held_out.alias("held_out")), model, keep_text=False)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -5,9 +5,8 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import kd_shards, language, licenses, neighbours, pieces, quality, tool_chat
+from . import decontaminate, jaccard, kd_shards, language, licenses, lm, neighbours, pieces, quality, tool_chat
 from .common import documents
 
 #: The vocabulary file of the piece operators; a path to any SentencePiece model may be given instead.
@@ -16,10 +15,22 @@ PIECE_MODEL = os.environ.get("SEMEVENTS_PIECE_MODEL", "/opt/tokenizers/piece_bpe
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    out = pieces.encode_pieces(docs, pieces.read_model(PIECE_MODEL), keep_ids=False, digest=True)
+    out = pieces.encode_pieces(docs, pieces.read_model(PIECE_MODEL), keep_ids=False, digest=True, keep_text=False)
     return out.select("doc_id", "n_pieces", "ids_crc32", "piece_score", "round_trip")
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(documents(spark, sf_dir))
+
+
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.classify(documents(spark, sf_dir))
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(documents(spark, sf_dir))
 
@@ -45,5 +56,5 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards.kd_shards(documents(spark, sf_dir), 40)
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op5_licenses, op6_language, op7_quality, op8_tool_chat, op9_neighbours, op10_kd_shards)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_jaccard, op3_lm, op4_decontaminate, op5_licenses, op6_language, op7_quality, op8_tool_chat, op9_neighbours, op10_kd_shards)}
 ORACLES = {"op5_licenses": licenses.oracle(), "op8_tool_chat": tool_chat.ORACLE, "op9_neighbours": neighbours.ORACLE}

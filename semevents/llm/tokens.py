@@ -16,6 +16,9 @@ _BASE = 0x9E3779B97F4A7C15
 _POWERS = np.ones(1, dtype=np.uint64)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Everything that is no ASCII letter or digit and no part of a longer character.
+_PUNCTUATION = np.ones(256, dtype=bool)
+_PUNCTUATION[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -64,10 +67,11 @@ def prepared(column: pa.Array) -> pa.Array:
 class Words:
     """Words of rows [start, end): ``hash`` by word, ``ends`` the number of words up to and with each row.
 
-    Words are maximal runs of bytes outside 0x20 and 0x09-0x0D, with A-Z in lower case.
+    Words are maximal runs of bytes outside 0x20 and 0x09-0x0D, with A-Z in lower case; with ``bare``, punctuation
+    separates them too.
     """
 
-    def __init__(self, texts: pa.Array, start: int, end: int):
+    def __init__(self, texts: pa.Array, start: int, end: int, bare: bool = False):
         offsets = _offsets(texts)[start : end + 1].astype(np.int64)
         data = texts.buffers()[2]
         raw = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]] if data is not None and offsets[-1] > offsets[0] else np.empty(0, np.uint8)
@@ -75,7 +79,7 @@ class Words:
         self.offsets = offsets - offsets[0]
         self.raw = raw
         low = _LOWER[raw]
-        word = ~_SPACE[raw]
+        word = ~(_PUNCTUATION if bare else _SPACE)[raw]
         first = word.copy()
         first[1:] &= ~word[:-1]
         at = self.offsets[:-1]
@@ -101,10 +105,10 @@ class Words:
         return np.repeat(np.arange(self.rows), self.ends - self.begins)
 
 
-def words(column: pa.Array) -> Iterator[tuple[int, int, Words]]:
+def words(column: pa.Array, bare: bool = False) -> Iterator[tuple[int, int, Words]]:
     texts = prepared(column)
     for a, b in chunks(texts):
-        yield a, b, Words(texts, a, b)
+        yield a, b, Words(texts, a, b, bare)
 
 
 def shingles(hashes: np.ndarray, n: int = 5) -> np.ndarray:
@@ -112,10 +116,10 @@ def shingles(hashes: np.ndarray, n: int = 5) -> np.ndarray:
     if not len(hashes):
         return hashes
     if len(hashes) < n:
-        out = U(len(hashes))
-        for h in hashes:
-            out = mix(np.array([out * U(_BASE) + h], dtype=np.uint64))[0]
-        return np.array([out], dtype=np.uint64)
+        out = np.array([len(hashes)], dtype=np.uint64)
+        for i in range(len(hashes)):
+            out = mix(out * U(_BASE) + hashes[i : i + 1])
+        return out
     m = len(hashes) - n + 1
     out = hashes[:m].copy()
     for i in range(1, n):
