@@ -31,6 +31,8 @@ BITS, PROBES, PER_DOUBLING = 8, 4, 2
 #: the least count t on for which they must fit (at most tokens / t have it); unigrams always stay.
 MAX_BYTES = 256 << 20
 SEGMENT_BITS = 11
+#: Bits that a segment has at least, so that one frequent token's levels can't fill it in a small corpus.
+LEAST_SEGMENT = 2048
 #: Training documents that the interpolation weights are fitted on, those with the smallest hash of the id; all
 #: counts are made over all documents.
 WEIGHT_DOCS = 2000
@@ -152,7 +154,7 @@ class Model:
         before = np.where(uniq[at] == prev, levels[at], 0)
         before[np.concatenate(([0], ends[:-1]))] = self.filter.levels(mix(np.array([END])))[0]  # as many beginnings as ends
         two, back = np.unique(pairs(prev, tokens), return_inverse=True)
-        single = (MIDDLE[levels] + 1) / (self.mass + self.distinct + 1)
+        single = (np.minimum(MIDDLE[levels], self.total) + 1) / (self.mass + self.distinct + 1)
         return Looked(uniq, inv, before, self.filter.counts(two)[back], single[inv])
 
 
@@ -271,7 +273,7 @@ def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Tr
     head = table.filter(F.col("c") * HEADS >= total).toArrow()
     h, c = head["h"].to_numpy().view(np.uint64), head["c"].to_numpy()
     order = np.argsort(h)
-    size = max(8, ceil(min(BITS * total, MAX_BYTES * 8) / (8 << SEGMENT_BITS))) * 8
+    size = max(LEAST_SEGMENT // 8, ceil(min(BITS * total, MAX_BYTES * 8) / (8 << SEGMENT_BITS))) * 8
     least = max(1, ceil(BITS * total / (MAX_BYTES * 8)))
     bits = np.zeros((1 << SEGMENT_BITS, size // 8), dtype=np.uint8)
     for row in saved(_segments(docs, text_col, size, least)).toLocalIterator():
