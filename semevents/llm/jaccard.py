@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from math import ceil, log
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +35,8 @@ SMALL = 1000
 DEPTH = 4
 #: Documents of a group that are compared at a time.
 BLOCK = 400
+#: Bits for each text that the filter before the comparison of texts has, and its largest size.
+FILTER_BITS, FILTER_BYTES = 12, 16 << 20
 #: Embedded sets that share less of their tokens than the threshold by this many standard deviations aren't candidates.
 SLACK = 4.5
 _RNG = np.random.Generator(np.random.PCG64(77))
@@ -163,7 +166,7 @@ def _groups(sets: DataFrame, threshold: float, small: int, depth: int) -> DataFr
     edges = None
     for level in range(depth):
         sizes = rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
-        full = saved(rows.join(sizes, "node").join(sketches, "key").select("node", "key", "size", "sketch"))
+        full = saved(rows.join(sizes.hint("merge"), "node").join(sketches.hint("merge"), "key").select("node", "key", "size", "sketch"))
         last = level == depth - 1
         now = full if last else full.filter(F.col("size") <= small)
         dealt = _blocks(now, "size", small).select("node", "lo", "hi", "part", "key", "sketch")
@@ -223,6 +226,48 @@ def _verified(table: pa.Table, threshold: float) -> pa.Table:
     })
 
 
+def _likely(bodies: DataFrame, members: DataFrame) -> DataFrame:
+    """The rows of ``bodies`` whose ``_th`` may be among the members' texts, so that few texts are shuffled.
+
+    A Bloom filter of FILTER_BITS bits for each member, sent to the workers if that is no more than FILTER_BYTES. Beyond
+    it all rows are passed on; the join that follows is exact in both cases.
+    """
+    n = members.count()
+    size = max(8, ceil(n * FILTER_BITS / (8 << 8))) * 8
+    if size << 8 > FILTER_BYTES * 8:
+        return bodies
+
+    def bits(table: pa.Table) -> pa.Table:
+        h = mix(table["th"].to_numpy().view(np.uint64))
+        out = np.zeros(size, dtype=bool)
+        for j in range(3):
+            out[_spot(h, j, size)] = True
+        return pa.table({"seg": table["seg"].slice(0, 1).cast(pa.int32()), "bits": pa.array([np.packbits(out).tobytes()], pa.binary())})
+
+    th = members.select(F.col("where.th").alias("th"))
+    by_segment = th.withColumn("seg", F.pmod("th", F.lit(256)).cast("int")).groupBy("seg").applyInArrow(bits, "seg int, bits binary")
+    whole = np.zeros((256, size), dtype=bool)
+    for row in by_segment.collect():  # FILTER_BYTES at most
+        whole[row["seg"]] = np.unpackbits(np.frombuffer(row["bits"], dtype=np.uint8))[:size]
+    shared = bodies.sparkSession.sparkContext.broadcast(np.packbits(whole.reshape(-1)))
+
+    @F.pandas_udf("boolean")
+    def may_be(th: pd.Series) -> pd.Series:
+        raw = th.to_numpy()
+        h = mix(raw.view(np.uint64))
+        out = np.ones(len(raw), dtype=bool)
+        for j in range(3):
+            at = (raw % 256) * size + _spot(h, j, size)
+            out &= (shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+        return pd.Series(out)
+
+    return bodies.filter(may_be("_th"))
+
+
+def _spot(h: np.ndarray, j: int, size: int) -> np.ndarray:
+    return ((mix(h + U(j + 1)) >> U(32)) % U(size)).astype(np.int64)
+
+
 def _resolved(docs: DataFrame, id_col: str, text_col: str, threshold: float, recall: float, small: int, depth: int, block: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, th, key) of every row, and for every key its class_id, n_links, where a text of it is, and whether it
     stands for its class."""
@@ -239,9 +284,9 @@ def _resolved(docs: DataFrame, id_col: str, text_col: str, threshold: float, rec
     members = saved(group.join(sets.select("key", "copies", "where"), "key"))
     sized = members.join(members.groupBy("grp").agg(F.count("*").alias("size")), "grp")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    bodies = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_th"), text.alias("text"))
     wanted = sized.select("grp", "key", "copies", "size", F.col("where.doc_id").alias("d"), F.col("where.th").alias("th"))
-    found = bodies.join(wanted, bodies["_id"].eqNullSafe(wanted["d"]) & (bodies["_th"] == wanted["th"])).select("grp", "key", "copies", "size", "text")
+    bodies = _likely(docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_th"), text.alias("text")), members)
+    found = bodies.hint("merge").join(wanted, bodies["_id"].eqNullSafe(wanted["d"]) & (bodies["_th"] == wanted["th"])).select("grp", "key", "copies", "size", "text")
     dealt = _blocks(found, "size", block).select("grp", "lo", "hi", "part", "key", "copies", "text")
     checked = saved(dealt.groupBy("grp", "lo", "hi").applyInArrow(lambda t: _verified(t, threshold), "a long, b long, links long"))
     links = checked.groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
