@@ -10,9 +10,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,8 +30,8 @@ STEPS = 2
 SMOOTH = 0.05
 #: Words whose probabilities a worker remembers; beyond it, it forgets all.
 REMEMBER = 300_000
-#: Longer words are summed with rescaling, one by one.
-LONG = 40
+#: Longer words are summed with rescaling, one by one. Up to this length products of the smallest probabilities stay in range.
+LONG = 30
 _WORD = re.compile(r"[^\W\d_]+")
 _GRID: dict[str, Grid] = {}
 
@@ -38,11 +41,14 @@ class Grid:
 
     def __init__(self, model: bytes):
         own = load(model)
-        self.find = own.find
-        self.single = own.single
         ids = sorted(own.text)
-        self.row = {i: k for k, i in enumerate(ids)}
         self.size = len(ids) + 1  # the last is a character that no piece is
+        self.find = ahocorasick.Automaton()  # reports the row and the length of a piece in one number
+        for k, i in enumerate(ids):
+            self.find.add_word(own.text[i], k << 16 | len(own.text[i]))
+        self.find.make_automaton()
+        self.lone = np.ones(sys.maxunicode + 1, dtype=bool)  # characters that are no piece
+        self.lone[[ord(c) for c in own.single] + [ord("\n")]] = False
 
     @staticmethod
     def of(model: bytes) -> Grid:
@@ -52,20 +58,23 @@ class Grid:
         return _GRID[key]
 
     def matches(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """word, start, end, piece of every piece in every word, by end; and the words' lengths (with the start)."""
+        """word, start, end, piece of every piece in every word, by end and word; and the words' lengths (with the start)."""
         joined = "\n".join([SPACE + w for w in words])
         sizes = np.array([len(w) + 1 for w in words])
-        found = np.array([(e, f[0], self.row[f[2]]) for e, f in self.find.iter(joined)], dtype=np.int64).reshape(-1, 3)
-        begin = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
-        letters = np.array(list(joined))
-        lone = np.isin(letters, np.array(sorted(self.single)), invert=True) & (letters != "\n")
-        extra = np.flatnonzero(lone)
+        found = np.fromiter(chain.from_iterable(self.find.iter(joined)), dtype=np.int64).reshape(-1, 2)
+        at, piece, size = found[:, 0], found[:, 1] >> 16, found[:, 1] & 0xFFFF
+        extra = np.flatnonzero(self.lone[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)])
         if len(extra):
-            found = np.concatenate((found, np.stack((extra, np.ones_like(extra), np.full_like(extra, self.size - 1)), axis=1)))
-        w = np.searchsorted(begin, found[:, 0], "right") - 1
-        end = found[:, 0] - begin[w] + 1
-        order = np.argsort(end, kind="stable")
-        return w[order], (end - found[:, 1])[order], end[order], found[order, 2], sizes
+            at = np.concatenate((at, extra))
+            piece = np.concatenate((piece, np.full(len(extra), self.size - 1)))
+            size = np.concatenate((size, np.ones(len(extra), dtype=np.int64)))
+            order = np.argsort(at, kind="stable")
+            at, piece, size = at[order], piece[order], size[order]
+        begin = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
+        w = np.repeat(np.arange(len(words)), sizes + 1)[at]
+        end = at - begin[w] + 1
+        order = np.argsort(end.astype(np.min_scalar_type(int(sizes.max()))), kind="stable")
+        return w[order], (end - size)[order], end[order], piece[order], sizes
 
     def log_probability(self, words: list[str], p: np.ndarray) -> np.ndarray:
         """log of the summed probability of each word by language; p: pieces x languages."""
@@ -86,9 +95,10 @@ class Grid:
         cuts = np.searchsorted(end, np.arange(1, len(alpha) + 1))
         for k in range(1, len(alpha)):
             s = slice(cuts[k - 1], cuts[k])
-            v = alpha[start[s], w[s]] * p[piece[s]]
-            for j in range(p.shape[1]):
-                alpha[k, :, j] += np.bincount(w[s], weights=v[:, j], minlength=len(words))
+            own = w[s]
+            first = np.flatnonzero(np.diff(own, prepend=-1))
+            if len(first):
+                alpha[k, own[first]] = np.add.reduceat(alpha[start[s], own] * p[piece[s]], first, axis=0)
         return alpha[sizes, np.arange(len(words))]
 
     def _long(self, word: str, p: np.ndarray) -> np.ndarray:
@@ -215,7 +225,7 @@ def identify(docs: DataFrame, model: bytes, langs: list[str], p: np.ndarray, tex
                 if len(at) > REMEMBER:
                     at.clear()
                 texts = [words_of(t) if t else [] for t in batch.column(k).to_pylist()]
-                new = sorted({w for t in texts for w in t if w not in at})
+                new = sorted(set(chain.from_iterable(texts)).difference(at))
                 if new and langs:
                     base = len(at)
                     while len(table) < base + len(new):
@@ -227,7 +237,7 @@ def identify(docs: DataFrame, model: bytes, langs: list[str], p: np.ndarray, tex
                         pred.append("und")
                         score.append(0.0)
                         continue
-                    total = table[[at[w] for w in t]].sum(axis=0)
+                    total = table[np.fromiter(map(at.__getitem__, t), np.int64, len(t))].sum(axis=0)
                     best = int(total.argmax())
                     pred.append(langs[best])
                     score.append(float(1 / np.exp(total - total[best]).sum()))
