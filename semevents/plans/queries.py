@@ -104,6 +104,59 @@ def md_math(spark, sf_dir):
     return _inside(parse(docs), "math").select("doc_id", "text")
 
 
+def md_scripts(spark, sf_dir):
+    """Sub- and superscript, strong emphasis and emphasis: what stands directly in each."""
+    docs = _doc(_table(spark, sf_dir, "part"), "p_partkey", F.concat(F.lit("H~"), "p_size", F.lit("~O x^"), "p_size", F.lit("^ ***"), "p_name", F.lit("*** and *"), "p_brand", F.lit("* end")))
+    events = coalesce_text(parse(docs))
+    inner = events.withColumn("inner", F.lead("text").over(Window.partitionBy("doc_id").orderBy("seq")))
+    return inner.filter("type = 'mark' AND name <> 'p'").select("doc_id", "name", F.col("inner").alias("text"))
+
+
+def md_images(spark, sf_dir):
+    """Images, autolinks and mail addresses."""
+    k = F.col("s_suppkey")
+    docs = _doc(_table(spark, sf_dir, "supplier"), "s_suppkey", F.concat(F.lit("!["), "s_name", F.lit("](https://i/"), k, F.lit(".png) <https://x/"), k, F.lit("> <u"), k, F.lit("@x.org> <no link>")))
+    marks = parse(docs).filter("type = 'mark' AND name <> 'p'")
+    return marks.select("doc_id", "name", F.coalesce(F.col("attributes")["href"], F.col("attributes")["src"]).alias("target"), F.col("attributes")["alt"].alias("alt"))
+
+
+def md_breaks(spark, sf_dir):
+    """Thematic breaks, blank lines, and a heading with too many marks."""
+    docs = _doc(_table(spark, sf_dir, "customer"), "c_custkey", F.concat(F.lit("---\n\n"), "c_mktsegment", F.lit("\n\n-----\n####### "), "c_nationkey", F.lit("\n")))
+    return parse(docs).filter("type <> 'text'").groupBy("doc_id", "type", "name").agg(F.count("*").alias("n"))
+
+
+def md_quote_lists(spark, sf_dir):
+    """A list in a quote: its items and the paragraph before it."""
+    docs = _doc(_table(spark, sf_dir, "customer"), "c_custkey", F.concat(F.lit("> "), "c_name", F.lit("\n> - "), "c_mktsegment", F.lit("\n> - "), "c_nationkey", F.lit("\n")))
+    events = parse(docs)
+    return _inside(events, "li").unionByName(_inside(events, "p")).select("doc_id", F.col("parent").alias("name"), "text")
+
+
+def markup_render(spark, sf_dir):
+    """Namespaced markup between paragraphs: its content is neither escaped nor indented, the rest is."""
+    docs = _doc(_table(spark, sf_dir, "events"), "event_id", F.concat(F.lit("a & b\n<doc:props kind=\"x&y\">\n"), "props", F.lit("\n</doc:props>\n")))
+    return render(parse(docs))
+
+
+def extract_absent(spark, sf_dir):
+    """Only some documents hold the tag; of two in a document the first counts."""
+    o, p = _table(spark, sf_dir, "orders"), F.col("o_orderpriority")
+    tag = F.concat(F.lit("<doc:o>\n"), p, F.lit("\n</doc:o>\n"))
+    docs = _doc(o, "o_orderkey", F.when(F.col("o_orderstatus") == "F", F.concat(tag, F.lit("<doc:o>\nlater\n</doc:o>\n"))).otherwise(p))
+    return extract(parse(docs), "doc:o").select("doc_id", "succeeded", "is_extracting", "content")
+
+
+def json_scan(spark, sf_dir):
+    """Events read from JSON texts: an element with an attribute around a text."""
+    n = _table(spark, sf_dir, "nation").withColumn("e", F.array(
+        F.concat(F.lit('{"type":"mark","name":"x:n","isTag":true,"attributes":{"r":"'), "n_regionkey", F.lit('"}}')),
+        F.concat(F.lit('{"type":"text","text":"'), "n_name", F.lit('"}')), F.lit('{"type":"unmark","name":"x:n","isTag":true}'),
+    ))
+    events = from_json(n.select(F.col("n_nationkey").cast("long").alias("doc_id"), F.posexplode("e").alias("seq", "json")))
+    return events.select("doc_id", "seq", "type", "name", F.coalesce("is_tag", F.lit(False)).alias("is_tag"), F.col("attributes")["r"].alias("r"), "text")
+
+
 def extract_tag(spark, sf_dir):
     o = _table(spark, sf_dir, "orders")
     docs = _doc(o, "o_orderkey", F.concat(F.lit("Before\n<doc:order status=\""), "o_orderstatus", F.lit("\">\n"), "o_orderpriority", F.lit("\n</doc:order>\nAfter")))
@@ -185,7 +238,7 @@ def stream_events(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     prose_events, escaped_render, md_headings, md_tables, md_tasks, md_code_blocks, md_spans, md_links, md_quotes, md_math, extract_tag, json_roundtrip,
-    json_lines, transform_to_markdown, depth_stats, html_links, html_compact, html_markdown, marks_join_labels, stream_events,
+    md_scripts, md_images, md_breaks, md_quote_lists, markup_render, extract_absent, json_scan, json_lines, transform_to_markdown, depth_stats, html_links, html_compact, html_markdown, marks_join_labels, stream_events,
 )}
 
 _CLEAN = r"regexp_replace(text, '[\\`*_~^=$!\[<#>|0-9-]', ' ', 'g')"
@@ -210,6 +263,19 @@ ORACLES = {
         CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS content_md5 FROM conversations""",
     "md_math": "SELECT o_orderkey AS doc_id, o_custkey || chr(10) || '+ ' || o_orderpriority AS text FROM orders",
     "extract_tag": "SELECT o_orderkey AS doc_id, true AS succeeded, false AS is_extracting, o_orderstatus AS status, o_orderpriority AS content FROM orders",
+    "md_scripts": """SELECT p_partkey AS doc_id, 'sub' AS name, CAST(p_size AS VARCHAR) AS text FROM part UNION ALL SELECT p_partkey, 'sup', CAST(p_size AS VARCHAR) FROM part
+        UNION ALL SELECT p_partkey, 'strong', NULL FROM part UNION ALL SELECT p_partkey, 'em', p_name FROM part UNION ALL SELECT p_partkey, 'em', p_brand FROM part""",
+    "md_images": """SELECT s_suppkey AS doc_id, 'img' AS name, 'https://i/' || s_suppkey || '.png' AS target, s_name AS alt FROM supplier
+        UNION ALL SELECT s_suppkey, 'a', 'https://x/' || s_suppkey, NULL FROM supplier UNION ALL SELECT s_suppkey, 'a', 'mailto:u' || s_suppkey || '@x.org', NULL FROM supplier""",
+    "md_breaks": """SELECT c_custkey AS doc_id, u.type AS type, e.name AS name, CAST(2 AS BIGINT) AS n FROM customer
+        CROSS JOIN (VALUES ('mark'), ('unmark')) AS u(type) CROSS JOIN (VALUES ('hr'), ('p')) AS e(name)""",
+    "md_quote_lists": """SELECT c_custkey AS doc_id, 'p' AS name, c_name AS text FROM customer UNION ALL SELECT c_custkey, 'li', c_mktsegment FROM customer
+        UNION ALL SELECT c_custkey, 'li', CAST(c_nationkey AS VARCHAR) FROM customer""",
+    "markup_render": """SELECT event_id AS doc_id, '<p>' || chr(10) || '  a &amp; b' || chr(10) || '</p>' || chr(10) || '<doc:props kind="x&amp;y">' || chr(10)
+        || props || chr(10) || '</doc:props>' AS html FROM events""",
+    "extract_absent": """SELECT o_orderkey AS doc_id, o_orderstatus = 'F' AS succeeded, false AS is_extracting, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END AS content FROM orders""",
+    "json_scan": """SELECT CAST(n_nationkey AS BIGINT) AS doc_id, CAST(0 AS INTEGER) AS seq, 'mark' AS type, 'x:n' AS name, true AS is_tag, CAST(n_regionkey AS VARCHAR) AS r, NULL AS text FROM nation
+        UNION ALL SELECT n_nationkey, 1, 'text', NULL, false, NULL, n_name FROM nation UNION ALL SELECT n_nationkey, 2, 'unmark', 'x:n', true, NULL, NULL FROM nation""",
     "json_roundtrip": """WITH e AS (SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7, 8, 9]) AS seq, unnest(['{"type":"mark","name":"h1"}', '', '{"type":"unmark","name":"h1"}',
         '{"type":"mark","name":"ul"}', '{"type":"mark","name":"li"}', '{"type":"mark","name":"input","attributes":{"type":"checkbox","checked":"true"}}',
         '{"type":"unmark","name":"input"}', '{"type":"text","text":"a"}', '{"type":"unmark","name":"li"}', '{"type":"unmark","name":"ul"}']) AS json)
