@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.codec import from_json, to_json, to_json_lines
-from ..model import coalesce_text, with_depth
+from ..model import EventBuilder, coalesce_text, events_frame, with_depth
 from ..operators.extract import extract
 from ..operators.render import render, to_html_compact
 from ..operators.transform import Body, Transformer, transform
 from ..sources.html import from_html
 from ..sources.markdown import parse
 from ..streaming.chunks import parse_stream
+from ..testing import differing
 
 _CONTROL = r"([\\`*_~^=$!\[<#>|0-9-])"
 
@@ -169,6 +170,52 @@ def json_roundtrip(spark, sf_dir):
     return to_json(from_json(to_json(coalesce_text(events))))
 
 
+def builder_events(spark, sf_dir):
+    """Events written by hand: default tags, elements, empty and no attributes."""
+    plain, tags = EventBuilder(), EventBuilder(produce_tags=True)
+    with plain.element("p", {"class": "x"}):
+        plain.text("a").mark("br").unmark("br")
+        with plain.tag("n:t"):
+            plain.text("b")
+    with tags.element("q", {}):
+        tags.text("c")
+    return to_json(events_frame(spark, {0: plain.events, 1: tags.events}))
+
+
+def event_diff(spark, sf_dir):
+    """Events that differ between two versions of a text, with the side that has them."""
+    c = _table(spark, sf_dir, "customer")
+    old = _doc(c, "c_custkey", F.col("c_name"))
+    new = _doc(c, "c_custkey", F.concat("c_name", F.when(F.col("c_mktsegment") == "BUILDING", " x").otherwise("")))
+    return differing(coalesce_text(parse(new)), coalesce_text(parse(old)))
+
+
+def html_scan(spark, sf_dir):
+    """An element tree from HTML: names in lower case, decoded attributes and text, no comments, void elements, implied ends."""
+    html = F.concat(F.lit('<DIV Data-K="x&amp;y"><!-- c --><p>'), "p_name", F.lit("<br>&lt;"), "p_brand", F.lit("</div>"))
+    pages = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("doc_id"), html.alias("html"))
+    return to_json(coalesce_text(from_html(pages, ("doc_id",))))
+
+
+def transform_elements(spark, sf_dir):
+    """Rules by predicate and by name, modes, elements around children, a text rule; marks without a rule go."""
+    docs = _doc(_table(spark, sf_dir, "nation"), "n_nationkey", F.concat(F.lit("# "), F.replace("n_name", F.lit("_"), F.lit("\\_")), F.lit("\n**"), "n_regionkey", F.lit("** X\n")))
+    rules = (
+        Transformer()
+        .match(F.col("name").rlike("^h[1-6]$"), Body().element("x:h", {"k": "v"}, Body().text("<").children("m").text(">")))
+        .match("strong", Body().element("b", body=Body().children()), mode="m")
+        .match("strong", Body().element("i", body=Body().children()))
+        .match_text(F.lower)
+    )
+    return to_html_compact(transform(parse(docs), rules))
+
+
+def render_blocks(spark, sf_dir):
+    """Pretty HTML of a list, code and a break: indentation, none in code, explicit ends, one newline dropped."""
+    docs = _doc(_table(spark, sf_dir, "supplier"), "s_suppkey", F.concat(F.lit("- **"), "s_name", F.lit("** & x\n\n```sql\na < "), "s_suppkey", F.lit("\n  c\n```\n---\n")))
+    return render(parse(docs))
+
+
 def json_lines(spark, sf_dir):
     return to_json_lines(coalesce_text(parse(_doc(_table(spark, sf_dir, "region"), "r_regionkey", F.concat(F.lit("**"), "r_name", F.lit("** x"))))))
 
@@ -238,7 +285,7 @@ def stream_events(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     prose_events, escaped_render, md_headings, md_tables, md_tasks, md_code_blocks, md_spans, md_links, md_quotes, md_math, extract_tag, json_roundtrip,
-    md_scripts, md_images, md_breaks, md_quote_lists, markup_render, extract_absent, json_scan, json_lines, transform_to_markdown, depth_stats, html_links, html_compact, html_markdown, marks_join_labels, stream_events,
+    md_scripts, md_images, md_breaks, md_quote_lists, markup_render, extract_absent, json_scan, builder_events, event_diff, html_scan, transform_elements, render_blocks, json_lines, transform_to_markdown, depth_stats, html_links, html_compact, html_markdown, marks_join_labels, stream_events,
 )}
 
 _CLEAN = r"regexp_replace(text, '[\\`*_~^=$!\[<#>|0-9-]', ' ', 'g')"
@@ -282,6 +329,21 @@ ORACLES = {
         SELECT CAST(n_nationkey AS BIGINT) AS doc_id, CAST(seq AS INTEGER) AS seq, CASE WHEN seq = 1 THEN '{"type":"text","text":"' || n_name || '"}' ELSE json END AS json FROM nation CROSS JOIN e""",
     "json_lines": """SELECT CAST(r_regionkey AS BIGINT) AS doc_id, '{"type":"mark","name":"p"}' || chr(10) || '{"type":"mark","name":"strong"}' || chr(10) || '{"type":"text","text":"' || r_name || '"}' || chr(10)
         || '{"type":"unmark","name":"strong"}' || chr(10) || '{"type":"text","text":" x"}' || chr(10) || '{"type":"unmark","name":"p"}' AS jsonl FROM region""",
+    "builder_events": """SELECT CAST(d AS BIGINT) AS doc_id, CAST(s AS INTEGER) AS seq, j AS json FROM (VALUES
+        (0, 0, '{"type":"mark","name":"p","attributes":{"class":"x"}}'), (0, 1, '{"type":"text","text":"a"}'), (0, 2, '{"type":"mark","name":"br"}'),
+        (0, 3, '{"type":"unmark","name":"br"}'), (0, 4, '{"type":"mark","name":"n:t","isTag":true}'), (0, 5, '{"type":"text","text":"b"}'),
+        (0, 6, '{"type":"unmark","name":"n:t","isTag":true}'), (0, 7, '{"type":"unmark","name":"p"}'), (1, 0, '{"type":"mark","name":"q","isTag":true,"attributes":{}}'),
+        (1, 1, '{"type":"text","text":"c"}'), (1, 2, '{"type":"unmark","name":"q","isTag":true}')) AS e(d, s, j)""",
+    "event_diff": """SELECT c_custkey AS doc_id, CAST(1 AS INTEGER) AS seq, '{"type":"text","text":"' || c_name || u.more || '"}' AS json, u.side AS side
+        FROM customer CROSS JOIN (VALUES (' x', 'actual'), ('', 'expected')) AS u(more, side) WHERE c_mktsegment = 'BUILDING'""",
+    "html_scan": """WITH e AS (SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS seq, unnest(['{"type":"mark","name":"div","isTag":true,"attributes":{"data-k":"x&y"}}',
+        '{"type":"mark","name":"p","isTag":true}', '', '{"type":"mark","name":"br","isTag":true}', '{"type":"unmark","name":"br","isTag":true}', '',
+        '{"type":"unmark","name":"p","isTag":true}', '{"type":"unmark","name":"div","isTag":true}']) AS json)
+        SELECT CAST(p_partkey AS BIGINT) AS doc_id, CAST(seq AS INTEGER) AS seq, CASE seq WHEN 2 THEN '{"type":"text","text":"' || p_name || '"}' WHEN 5 THEN '{"type":"text","text":"<' || p_brand || '"}' ELSE json END AS json
+        FROM part CROSS JOIN e""",
+    "transform_elements": """SELECT CAST(n_nationkey AS BIGINT) AS doc_id, '<x:h k="v">&lt;' || lower(n_name) || '&gt;</x:h><i>' || n_regionkey || '</i> x' AS html FROM nation""",
+    "render_blocks": """SELECT s_suppkey AS doc_id, '<ul>' || chr(10) || '  <li>' || chr(10) || '    <strong>' || s_name || '</strong> &amp; x' || chr(10) || '  </li>' || chr(10) || '</ul>' || chr(10)
+        || '<pre class="code lang-sql">' || chr(10) || 'a &lt; ' || s_suppkey || chr(10) || '  c' || chr(10) || '</pre>' || chr(10) || '<hr></hr>' AS html FROM supplier""",
     "transform_to_markdown": "SELECT CAST(n_nationkey AS BIGINT) AS doc_id, '## ' || n_name || chr(10) || chr(10) || '* *' || n_regionkey || '* of x' || chr(10) AS markdown FROM nation",
     "depth_stats": "SELECT p_partkey AS doc_id, CAST(5 AS INTEGER) AS deepest, CAST(13 AS BIGINT) AS marks FROM part",
     "html_links": """SELECT page_id, name, CAST(len(regexp_extract_all(html, '<' || name || '[ >]')) AS BIGINT) AS n FROM pages CROSS JOIN (VALUES ('a'), ('li'), ('p')) AS u(name)
