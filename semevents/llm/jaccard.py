@@ -5,7 +5,8 @@ Texts are sets of word five-grams. Equal sets are collapsed first. A set is embe
 sets into buckets: at a node every set goes to the children of those of its tokens that a hash of the node and the
 token samples, 1/threshold children on average, so that similar sets go on together and others part. A small
 bucket is searched by brute force over the embedded sets; a large one is split again, and what is still large at the
-last depth is searched by brute force in blocks. Independent runs from the root repeat this until the target recall.
+last depth is searched by brute force in blocks. Independent runs from the root repeat this until the target recall,
+which holds for pairs that meet in large buckets only, too.
 
 Buckets give candidate groups only. Within each group the true sets are compared, all with all, in blocks of
 bounded size, so that links and their numbers are exact for every pair of one group.
@@ -14,7 +15,8 @@ bounded size, so that links and their numbers are exact for every pair of one gr
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, log
+from itertools import count
+from math import ceil, comb
 
 import numpy as np
 import pandas as pd
@@ -33,6 +35,8 @@ RECALL = 0.9999
 #: Buckets up to this size are searched by brute force by one task.
 SMALL = 1000
 DEPTH = 4
+#: How much oftener than at the root a large bucket's split samples a token, to make up for pairs that splits part.
+SPLIT = 1.25
 #: Documents of a group that are compared at a time.
 BLOCK = 400
 #: Bits for each text that the filter before the comparison of texts has, and its largest size.
@@ -53,10 +57,16 @@ def embed(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def runs(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
-    """Runs after which a pair at the threshold has met with the target probability."""
-    once = 1 - (1 - 1 / (threshold * WIDTH)) ** (threshold * WIDTH)
-    return ceil(log(1 - recall) / log(1 - once))
+def runs(threshold: float = THRESHOLD, recall: float = RECALL, depth: int = DEPTH) -> int:
+    """Runs after which a pair at the threshold has met with the target probability, even if all its buckets are so
+    large that they are split down to the last depth. How many tokens a pair shares is binomial."""
+    some = []
+    for k in range(WIDTH + 1):
+        meets = 1.0
+        for above in reversed(range(depth)):  # at a node: one of the k tokens is sampled and the pair meets below it
+            meets = 1 - (1 - min(1, meets * (SPLIT if above else 1) / (threshold * WIDTH))) ** k
+        some.append((comb(WIDTH, k) * threshold**k * (1 - threshold) ** (WIDTH - k), 1 - meets))
+    return next(n for n in count(1) if sum(p * miss**n for p, miss in some) <= 1 - recall)
 
 
 def _children(nodes: np.ndarray, tokens: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -181,7 +191,7 @@ def _groups(sets: DataFrame, threshold: float, small: int, depth: int) -> DataFr
                 for a in range(0, batch.num_rows, 4096):
                     part = batch.slice(a, 4096)
                     e = np.frombuffer(b"".join(part.column(2).to_pylist()), dtype=np.uint32).reshape(-1, WIDTH)
-                    row, node = _children(part.column(0).to_numpy().view(np.uint64), e, threshold)
+                    row, node = _children(part.column(0).to_numpy().view(np.uint64), e, threshold / SPLIT)
                     yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), part.column(1).take(pa.array(row))], ["node", "key"])
 
         rows = large.select("node", "key", "sketch").mapInArrow(split, "node long, key long")
@@ -271,7 +281,7 @@ def _spot(h: np.ndarray, j: int, size: int) -> np.ndarray:
 def _resolved(docs: DataFrame, id_col: str, text_col: str, threshold: float, recall: float, small: int, depth: int, block: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, th, key) of every row, and for every key its class_id, n_links, where a text of it is, and whether it
     stands for its class."""
-    described = saved(_described(docs, id_col, text_col, runs(threshold, recall), threshold))
+    described = saved(_described(docs, id_col, text_col, runs(threshold, recall, depth), threshold))
     worded = described.filter("key IS NOT NULL")
     # one row per set: how many copies, the smallest id, and where to find a text of it
     sets = saved(

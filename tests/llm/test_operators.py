@@ -146,6 +146,20 @@ def test_jaccard_keeps_one_of_each(docs, rows, empty):
     assert jaccard.near_duplicates(empty).count() == 0 and jaccard.drop_near_duplicates(empty).count() == 0
 
 
+def test_jaccard_recall_holds_at_the_last_depth():
+    rng = np.random.default_rng(8)
+    missed = 0
+    for _ in range(600):  # 80 of 100 are shared; all buckets are large
+        h = rng.integers(0, 2**63, 100, dtype=np.uint64)
+        pair = jaccard.embed(h[:90]), jaccard.embed(h[10:])
+        nodes = jaccard._roots(jaccard.runs())
+        for level in range(jaccard.DEPTH):
+            each = jaccard.THRESHOLD / (jaccard.SPLIT if level else 1)
+            nodes = np.intersect1d(*(jaccard._children(nodes, np.broadcast_to(e, (len(nodes), jaccard.WIDTH)), each)[1] for e in pair))
+        missed += not len(nodes)
+    assert missed <= 2  # 0.06 at a recall of 0.9999
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)] + [(200, 201 + i) for i in range(30)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
