@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
-#: Longest chain of calls that wait for each other before the rest is reported as a cycle (level null).
-MAX_DEPTH = 10_000
 # JSON Schema type names and the type names of Spark's variants that satisfy them.
 TYPES = {
     "string": "^STRING$",
@@ -54,22 +52,24 @@ def levels(calls: DataFrame) -> DataFrame:
 
     ``calls`` has one row per call_id, and ``after``: the call it waits for, or null. A call that waits for one
     that isn't there has level 0. Pointer doubling: chains of length n take log2(n) joins, each written to the
-    shared folder; calls on a cycle keep level null.
+    shared folder. Each round ends some chain as long as any is open; if none ends, what is left are cycles and the
+    calls that wait for them, which keep level null.
     """
     at = saved(
         calls.alias("c")
         .join(calls.select(F.col("call_id").alias("p")), F.col("c.after") == F.col("p"), "left")
         .select("c.call_id", F.col("p").alias("up"), F.when(F.col("p").isNull(), 0).otherwise(1).cast("long").alias("level"))
     )
-    hops = 1
-    while hops < MAX_DEPTH and not at.filter("up IS NOT NULL").isEmpty():
+    pending = lambda: at.filter("up IS NOT NULL").count()
+    left, before = pending(), None
+    while left and left != before:
         up = at.select(F.col("call_id").alias("u"), F.col("up").alias("up2"), F.col("level").alias("level2"))
         at = saved(
             at.join(up, F.col("up") == F.col("u"), "left").select(
                 "call_id", F.col("up2").alias("up"), (F.col("level") + F.coalesce("level2", F.lit(0))).alias("level")
             )
         )
-        hops *= 2
+        left, before = pending(), left
     return at.select("call_id", F.when(F.col("up").isNull(), F.col("level")).alias("level"))
 
 

@@ -289,6 +289,14 @@ def test_tool_calls(spark):
     assert tool_chat.link_tool_calls(spark.createDataFrame([], schema), schemas).count() == 0
 
 
+def test_levels_of_long_chains(spark):
+    n = 20_000
+    chain = spark.range(n).selectExpr("cast(id AS string) AS call_id", "cast(id - 1 AS string) AS after")
+    odd = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "a"), ("d", "d")], "call_id string, after string")
+    got = {r["call_id"]: r["level"] for r in tool_chat.levels(chain.unionByName(odd)).collect()}
+    assert got == {str(i): i for i in range(n)} | dict.fromkeys("abcd")
+
+
 # -- 6, 7 ------------------------------------------------------------------------------------------------------------
 def test_forward_sums_all_segmentations(model):
     grid = language.Grid.of(model)
