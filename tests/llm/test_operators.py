@@ -227,6 +227,20 @@ def test_leaks_and_paraphrases(leaky):
     assert got == truth
 
 
+def test_leaks_spread_over_the_whole_item(spark):
+    rng = np.random.default_rng(12)
+    word = lambda n: ["".join(x) for x in rng.choice(list("abcdefgh"), (n, 8))]
+    items = [word(40) for _ in range(6)]
+    made = []
+    for n, item in enumerate(items):  # six words of each of the first two passages, and the answer
+        kept = {*range(0, 16, 3), *range(17, 32, 3), 31, *range(32, 40)}
+        text = [*word(64), *[w if k in kept else "other%d" % k for k, w in enumerate(item)], *word(64)]
+        made.append((n, " ".join(text)))
+    benchmark = spark.createDataFrame([(n, " ".join(x)) for n, x in enumerate(items)], "item_id bigint, text string")
+    got = decontaminate.find_leaks(spark.createDataFrame(made, "doc_id bigint, text string"), benchmark).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["lcs"], r["answer"]) for r in got) == [(n, n, 0.5, 1.0) for n in range(6)]
+
+
 def test_leaks_edges(leaky, empty, spark):
     docs, benchmark, _ = leaky
     assert decontaminate.flag_leaks(docs, benchmark.limit(0)).filter(F.size("leaks") > 0).count() == 0
