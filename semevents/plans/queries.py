@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +10,7 @@ from ..model import EventBuilder, coalesce_text, events_frame, with_depth
 from ..operators.extract import extract
 from ..operators.render import render, to_html_compact
 from ..operators.transform import Body, Transformer, transform
+from ..scratch import scratch_path
 from ..sources.html import from_html
 from ..sources.markdown import parse
 from ..streaming.chunks import parse_stream
@@ -277,7 +275,7 @@ def stream_events(spark, sf_dir):
         F.col("conv_id").alias("doc_id"), F.col("turn").alias("chunk_seq"),
         F.concat(F.regexp_replace("text", _CONTROL, " "), F.lit("\n")).alias("chunk"), (F.col("turn") == F.col("last")).alias("eof"),
     )
-    root = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='semevents-')}/stream/{uuid.uuid4().hex}"
+    root = scratch_path(spark, "stream")
     parse_stream(chunks).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
     out = spark.read.parquet(f"{root}/out").filter("type <> 'text'")
     return out.groupBy("doc_id", "type", "name").agg(F.count("*").alias("n"))
