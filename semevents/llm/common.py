@@ -1,37 +1,12 @@
-"""Helpers that the operators share: scratch tables in the shared folder and small column rules."""
+"""Helpers that the operators share: small column rules, and the scratch tables of the core."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for written tables and checkpoints.
-
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests on one machine) is a
-    temporary folder made.
-    """
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = sc.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='semevents-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named)
-    return named
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..scratch import release, saved  # noqa: F401
 
 
 def remainder(column: str, modulus: int) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import boosting
 from .common import remainder, widened
-from .tokens import words
+from .tokens import BLOCK, words
 
 #: The most labelled rows that the classifier is fitted on; those with the smallest hash of the id are taken.
 TRAIN_ROWS = 20_000
@@ -25,8 +25,12 @@ def statistics(column: pa.Array) -> np.ndarray:
         x = np.zeros((b - a, 14 + len(_MARKS)))
         size = np.diff(w.offsets).astype(float)
         some = np.maximum(size, 1)
-        row = np.repeat(np.arange(b - a), np.diff(w.offsets))
-        hist = np.bincount(row * 256 + w.raw, minlength=(b - a) * 256).reshape(b - a, 256)
+        hist = np.zeros((b - a) * 256, dtype=np.int64)
+        for at in range(0, len(w.raw), BLOCK):
+            raw = w.raw[at : at + BLOCK]
+            row = np.searchsorted(w.offsets[1:], np.arange(at, at + len(raw)), "right") if len(w.raw) > BLOCK else np.repeat(np.arange(b - a), np.diff(w.offsets))
+            hist += np.bincount(row * 256 + raw, minlength=len(hist))
+        hist = hist.reshape(b - a, 256)
         upper, lower, digits = hist[:, 65:91].sum(1), hist[:, 97:123].sum(1), hist[:, 48:58].sum(1)
         high, space, lines = hist[:, 128:].sum(1), hist[:, [32, 9, 13]].sum(1), hist[:, 10] + 1
         n = w.ends - w.begins
@@ -55,8 +59,8 @@ def statistics(column: pa.Array) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", learn=None, rows: int = TRAIN_ROWS) -> boosting.Boosted:
     """Fit on at most ``rows`` labelled documents for whose id ``learn`` (a Column) holds.
 
-    Rows with a null id, label or text teach nothing. Statistics are made on the workers; the driver gets a row of
-    numbers for each document of the sample.
+    Rows with a null id, label or text teach nothing; of rows that repeat an id one does (that with the smallest
+    statistics). Statistics are made on the workers; the driver gets a row of numbers for each id of the sample.
     """
     labels = labels.select(F.col(id_col), F.col(label_col).cast("double").alias("_y")).filter(F.col(id_col).isNotNull() & F.col("_y").isNotNull())
     if learn is not None:
@@ -67,9 +71,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = statistics(batch.column(0))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(list(x), type=pa.list_(pa.float64()))], ["y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(list(x), type=pa.list_(pa.float64()))], ["id", "y", "x"])
 
-    got = sample.select(text_col, "_y").mapInArrow(stats, "y double, x array<double>").toArrow()
+    each = sample.select(text_col, F.col(id_col).cast("string"), "_y").mapInArrow(stats, "id string, y double, x array<double>")
+    got = each.groupBy("id").agg(F.first("y").alias("y"), F.min("x").alias("x")).select("y", "x").toArrow()  # a row an id: at most `rows`
     y = got["y"].to_numpy()
     x = np.array(got["x"].to_pylist(), dtype=float).reshape(len(y), 14 + len(_MARKS))
     order = np.lexsort([*x.T, y])  # the same forest whatever order the rows came in

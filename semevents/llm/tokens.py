@@ -10,6 +10,8 @@ import pyarrow as pa
 U = np.uint64
 #: Bytes of text that are cut at a time; a longer text is a chunk of its own.
 CHUNK = 2 << 20
+#: Bytes that are hashed at a time, so that a very long text takes little more room than its words' hashes.
+BLOCK = 4 << 20
 _SEED = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _SEED.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -78,23 +80,37 @@ class Words:
         self.rows = end - start
         self.offsets = offsets - offsets[0]
         self.raw = raw
-        low = _LOWER[raw]
-        word = ~(_PUNCTUATION if bare else _SPACE)[raw]
-        first = word.copy()
-        first[1:] &= ~word[:-1]
-        at = self.offsets[:-1]
-        at = at[at < len(raw)]
-        first[at] = word[at]
-        starts = np.flatnonzero(first)
+        starts, sums = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+        separates = _PUNCTUATION if bare else _SPACE
+        carry = 0  # bytes of a word that the block before has begun
+        for a in range(0, len(raw), BLOCK):
+            part = raw[a : a + BLOCK]
+            word = ~separates[part]
+            first = word.copy()
+            first[1:] &= ~word[:-1]
+            first[0] &= not carry
+            at = self.offsets[:-1]
+            at = at[np.searchsorted(at, a) : np.searchsorted(at, a + len(part))] - a
+            first[at] = word[at]
+            begin = np.flatnonzero(first)
+            head = int(begin[0]) if len(begin) else len(part)
+            if carry and head:
+                own = int(np.argmin(word[:head])) if not word[:head].all() else head
+                more = (_BYTE[_LOWER[part[:own]]] * _powers(own + 1)[:own]).sum(keepdims=True, dtype=np.uint64)
+                next(x for x in reversed(sums) if len(x))[-1:] += more * U(pow(_BASE, carry, 1 << 64))
+            if len(begin):
+                spans = np.diff(begin, append=len(part))
+                place = np.arange(head, len(part)) - np.repeat(begin, spans)
+                v = _BYTE[_LOWER[part[head:]]] * _powers(int(spans.max()) + 1)[place]
+                v[~word[head:]] = 0
+                starts.append(begin + a)
+                sums.append(np.add.reduceat(v, begin - head))
+                carry = len(part) - int(begin[-1]) if word[begin[-1] :].all() else 0
+            else:
+                carry = carry + len(part) if carry and word.all() else 0
+        starts = np.concatenate(starts)
         self.starts = starts
-        if len(starts):
-            spans = np.diff(starts, append=len(raw))
-            place = np.arange(starts[0], len(raw)) - np.repeat(starts, spans)
-            v = _BYTE[low[starts[0] :]] * _powers(int(spans.max()) + 1)[place]
-            v[~word[starts[0] :]] = 0
-            self.hash = mix(np.add.reduceat(v, starts - starts[0]))
-        else:
-            self.hash = np.empty(0, np.uint64)
+        self.hash = mix(np.concatenate(sums))
         self.ends = np.searchsorted(starts, self.offsets[1:], "left")
 
     @property
