@@ -9,6 +9,18 @@ from pyspark.sql import types as T
 from ..scratch import release, saved  # noqa: F401
 
 
+#: Bytes of rows that Python workers get at a time, where the session names no other size.
+BATCH_BYTES = 4 << 20
+
+
+def batched(df: DataFrame) -> DataFrame:
+    """``df``; from now on its session sends rows to Python in batches of bounded bytes, however long texts are."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(key, None) is None:
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def remainder(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus

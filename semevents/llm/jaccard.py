@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import batched, release, saved
 from .components import components
 from .tokens import U, mix, shingles, words
 
@@ -281,7 +281,7 @@ def _spot(h: np.ndarray, j: int, size: int) -> np.ndarray:
 def _resolved(docs: DataFrame, id_col: str, text_col: str, threshold: float, recall: float, small: int, depth: int, block: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, th, key) of every row, and for every key its class_id, n_links, where a text of it is, and whether it
     stands for its class."""
-    described = saved(_described(docs, id_col, text_col, runs(threshold, recall, depth), threshold))
+    described = saved(_described(batched(docs), id_col, text_col, runs(threshold, recall, depth), threshold))
     worded = described.filter("key IS NOT NULL")
     # one row per set: how many copies, the smallest id, and where to find a text of it
     sets = saved(

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, saved, widened
+from .common import batched, remainder, saved, widened
 from .pieces import SPACE, load
 
 #: The most documents that piece probabilities are learned from; those with the smallest hash of the id are taken.
@@ -150,7 +150,7 @@ def train(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str =
     Rows with a null id, text or language teach nothing. What reaches the driver is pieces x languages numbers.
     """
     sc = docs.sparkSession.sparkContext
-    sample = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
+    sample = batched(docs).filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     if learn is not None:
         sample = sample.filter(learn)
     picked = sample.select(id_col).orderBy(F.xxhash64(id_col), id_col).limit(rows)
@@ -206,7 +206,7 @@ def identify(docs: DataFrame, model: bytes, langs: list[str], p: np.ndarray, tex
     first by name. Columns of those names are replaced, others kept (the text only if so asked);
     repeated rows are scored alike.
     """
-    docs = docs.drop("lang_pred", "lang_score")
+    docs = batched(docs).drop("lang_pred", "lang_score")
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast((model, langs, p))  # pieces x languages, whatever the input
     k = docs.columns.index(text_col)

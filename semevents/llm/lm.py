@@ -3,18 +3,24 @@
 All n-gram counts of the training texts are quantised on a log scale, and an n-gram of level q is put into the filter
 as (n-gram, 1) ... (n-gram, q). A count is read back by asking for level 1, 2, ... until the filter says no. The
 filter is built in segments: an n-gram's segment is the top of its hash, and one task after one shuffle sets the
-bits of a segment. Workers get the whole filter as a broadcast.
+bits of a segment. No n-gram is left out, so the filter grows with the corpus. As long as it is no larger than
+BROADCAST_BYTES, workers get it whole; beyond that the distinct n-grams of each chunk of text are dealt to the
+segments, asked there and sent back. Both ways give the same levels.
+
+Each token's three levels (of the token before, of the pair, of the token) are written once. The weights are fitted on
+those of all training tokens, and scores are sums over them.
 
 Scores are interpolated: P(w|v) = a c(vw) / c(v) + (1 - a) P(w) with P(w) = (c(w) + 1) / (Z + V + 1), c being counts
 as read back and Z their sum over the vocabulary, so that the unigrams add up to one. The weight a depends on the
-level of v; it is fitted by expectation-maximisation on training texts, each token being left out of its own counts.
+level of v; it is fitted by expectation-maximisation, each token being left out of its own counts.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from math import ceil
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
@@ -22,27 +28,22 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, saved, widened
-from .tokens import U, mix, words
+from .common import batched, remainder, saved
+from .tokens import U, _offsets, mix, words
 
 #: Filter bits for each training token, probes for each level, levels for each doubling of a count.
 BITS, PROBES, PER_DOUBLING = 8, 4, 2
-#: The filter's largest size. It holds every n-gram as long as BITS x tokens fit. Beyond that bigrams are kept from
-#: the least count t on for which they must fit (at most tokens / t have it); unigrams always stay.
-MAX_BYTES = 256 << 20
-SEGMENT_BITS = 11
+#: The largest filter that is sent to the workers whole.
+BROADCAST_BYTES = 128 << 20
+#: There are 2 ** SEGMENT_BITS segments, more if one would have more than SEGMENT_TOKENS tokens' bits.
+SEGMENT_BITS, SEGMENT_TOKENS = 11, 1 << 20
 #: Bits that a segment has at least, so that one frequent token's levels can't fill it in a small corpus.
 LEAST_SEGMENT = 2048
-#: Training documents that the interpolation weights are fitted on, those with the smallest hash of the id; all
-#: counts are made over all documents.
-WEIGHT_DOCS = 2000
-#: Steps of log10(c(vw) P(v) / c(v) P(w)) that the fit tells apart, a tenth each; step 0 is a bigram without other uses.
-STEPS = 160
 #: Tokens that make up at least one in so many of all tokens go to the workers with their exact counts: there can't
 #: be more than so many. The others are joined.
 HEADS = 1 << 20
-#: n-grams that a counting task holds before it passes them on.
-HELD = 3 << 20
+#: n-grams that a counting task holds before it passes them on: 12 bytes each, some five times that while they are sorted.
+HELD = 1 << 19
 END, BEGIN = U(0xE4D0), U(0xB361)
 _PAIR = U(0xC2B2AE3D27D4EB4F)
 _ALL = (1 << 64) - 1
@@ -87,29 +88,36 @@ def _middles() -> np.ndarray:
 MIDDLE = _middles()
 
 
+def probe(bits: np.ndarray, size: int, grams: np.ndarray, base: np.ndarray | None = None) -> np.ndarray:
+    """The level of each n-gram: repeated membership probes until one fails. ``base``: where their segments begin."""
+    out = np.zeros(len(grams), dtype=np.uint8)
+    at = np.arange(len(grams))
+    q = 0
+    while len(at) and q < len(MIDDLE) - 1:
+        q += 1
+        for j in range(PROBES):
+            pos = place(grams[at], q, j, size)
+            if base is not None:
+                pos += base[at]
+            at = at[(bits[pos >> 3] >> (pos & 7).astype(np.uint8)) & 1 == 1]
+        out[at] = q
+    return out
+
+
 @dataclass
 class Filter:
-    """Bits in segments of ``size`` bits."""
+    """Bits in 2 ** ``top`` segments of ``size`` bits."""
 
+    top: int
     size: int
     bits: np.ndarray = field(repr=False)
 
     def levels(self, grams: np.ndarray) -> np.ndarray:
-        """The level of each n-gram: repeated membership probes until one fails."""
-        out = np.zeros(len(grams), dtype=np.int64)
-        at = np.arange(len(grams))
-        q = 0
-        base = (grams >> U(64 - SEGMENT_BITS)).astype(np.int64) * self.size
-        while len(at) and q < len(MIDDLE) - 1:
-            q += 1
-            for j in range(PROBES):
-                pos = base[at] + place(grams[at], q, j, self.size)
-                at = at[(self.bits[pos >> 3] >> (pos & 7).astype(np.uint8)) & 1 == 1]
-            out[at] = q
-        return out
+        return probe(self.bits, self.size, grams, segment(grams, self.top) * self.size)
 
-    def counts(self, grams: np.ndarray) -> np.ndarray:
-        return MIDDLE[self.levels(grams)]
+
+def segment(grams: np.ndarray, top: int) -> np.ndarray:
+    return (grams >> U(64 - top)).astype(np.int64)
 
 
 def place(grams: np.ndarray, q: int | np.ndarray, j: int, size: int) -> np.ndarray:
@@ -122,51 +130,57 @@ def place(grams: np.ndarray, q: int | np.ndarray, j: int, size: int) -> np.ndarr
     return (((mix(grams ^ salt) >> U(32)) * U(size)) >> U(32)).astype(np.int64)
 
 
+class Asked:
+    """The distinct n-grams of some rows' tokens (see _tokens), and how their levels go back to the tokens."""
+
+    def __init__(self, tokens: np.ndarray, ends: np.ndarray):
+        self.uniq, self.inv = np.unique(tokens, return_inverse=True)
+        self.two, self.back = np.unique(pairs(_before(tokens, ends), tokens), return_inverse=True)
+        self.begins = np.concatenate(([0], ends[:-1])).astype(np.int64)
+
+    def codes(self, single: np.ndarray, both: np.ndarray) -> np.ndarray:
+        """Levels of the token before, of the pair and of the token, for each token; there are as many beginnings as ends."""
+        out = np.empty((len(self.inv), 3), dtype=np.uint8)
+        out[:, 1], out[:, 2] = both[self.back], single[self.inv]
+        out[1:, 0] = out[:-1, 2]
+        out[self.begins, 0] = single[np.searchsorted(self.uniq, END)]
+        return out
+
+
 @dataclass
-class Looked:
-    """Distinct tokens, each token's place among them, the level of the token before, c(vw) and P(w)."""
+class Heads:
+    """Exact counts of frequent tokens."""
 
-    uniq: np.ndarray
-    inv: np.ndarray
-    before: np.ndarray
-    both: np.ndarray
-    single: np.ndarray
+    tokens: np.ndarray = field(repr=False)
+    counts: np.ndarray = field(repr=False)
 
 
 @dataclass
-class Model:
-    """``total`` tokens, ``distinct`` tokens, ``mass`` (Z), exact counts of frequent tokens, and the filter."""
+class Counted:
+    """``total`` tokens, ``distinct`` tokens, ``mass`` (Z), exact counts (h, c), the broadcast heads, and the filter: its
+    segments as a table (seg, bits), and broadcast if it is small enough."""
 
     total: int
     distinct: int
     mass: float
-    head: np.ndarray = field(repr=False)
-    head_count: np.ndarray = field(repr=False)
-    filter: Filter
-
-    def look(self, tokens: np.ndarray, ends: np.ndarray) -> Looked:
-        """Filter counts of the tokens of some rows (see _tokens), each distinct n-gram asked for once."""
-        uniq, inv = np.unique(tokens, return_inverse=True)
-        levels = self.filter.levels(mix(uniq))
-        prev = _before(tokens, ends)
-        at = np.searchsorted(uniq, prev)
-        at[at == len(uniq)] = 0
-        before = np.where(uniq[at] == prev, levels[at], 0)
-        before[np.concatenate(([0], ends[:-1]))] = self.filter.levels(mix(np.array([END])))[0]  # as many beginnings as ends
-        two, back = np.unique(pairs(prev, tokens), return_inverse=True)
-        single = (np.minimum(MIDDLE[levels], self.total) + 1) / (self.mass + self.distinct + 1)
-        return Looked(uniq, inv, before, self.filter.counts(two)[back], single[inv])
+    counts: DataFrame
+    heads: Broadcast
+    top: int
+    size: int
+    segments: DataFrame
+    shared: Broadcast | None
+
+    def single(self) -> np.ndarray:
+        """P(w) by level."""
+        return (np.minimum(MIDDLE, self.total) + 1) / (self.mass + self.distinct + 1)
 
 
 @dataclass
 class Trained:
-    """The broadcast model, the weights a by the level of v, tokens, distinct tokens, and exact counts (h, c)."""
+    """What was counted, and the weights a by the level of v."""
 
-    shared: Broadcast
+    counted: Counted
     weight: np.ndarray = field(repr=False)
-    total: int
-    distinct: int
-    counts: DataFrame
 
 
 def _count_tokens(docs: DataFrame, text_col: str) -> DataFrame:
@@ -179,89 +193,96 @@ def _count_tokens(docs: DataFrame, text_col: str) -> DataFrame:
 
         for batch in batches:
             for _, _, w in words(batch.column(0)):
-                held.append(np.unique(_tokens(w)[0], return_counts=True))
+                h, c = np.unique(_tokens(w)[0], return_counts=True)
+                held.append((h, c.astype(np.uint32)))
                 size += len(held[-1][0])
                 if size > HELD:
                     yield out()
-                    held, size = [], 0
+                    size = 0
         yield out()
 
     return docs.select(text_col).mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
 def _summed(held: list) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams and the sums of their counts; ``held`` is emptied."""
     if not held:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     h = np.concatenate([x[0] for x in held])
-    c = np.concatenate([x[1] for x in held]).astype(np.int64)
-    order = np.argsort(h, kind="stable")
+    c = np.concatenate([x[1] for x in held])
+    held.clear()
+    order = np.argsort(h)
     h, c = h[order], c[order]
+    del order
     first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.empty(0, np.int64)
-    return h[first], np.add.reduceat(c, first) if len(h) else c
+    return h[first], np.add.reduceat(c, first, dtype=np.int64) if len(h) else c.astype(np.int64)
 
 
-def _segments(docs: DataFrame, text_col: str, size: int, least: int) -> DataFrame:
-    """(seg, bits): the filter's segments. ``least`` is the smallest count for which a bigram is kept."""
+def _segments(docs: DataFrame, text_col: str, top: int, size: int) -> DataFrame:
+    """(seg, bits): the filter's segments, those without an n-gram left out."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
+        held: dict[bool, list] = {True: [], False: []}
         total = 0
 
         def out():
             rows: dict[str, list] = {"seg": [], "one": [], "h": [], "c": []}
-            for one in (True, False):
-                h, c = _summed([x[1:] for x in held if x[0] == one])
-                seg = (h >> U(64 - SEGMENT_BITS)).astype(np.int64)
-                cuts = np.searchsorted(seg, np.arange((1 << SEGMENT_BITS) + 1))
-                for s in np.unique(seg):
-                    a, b = cuts[s], cuts[s + 1]
+            for one, some in held.items():
+                h, c = _summed(some)
+                seg = segment(h, top)
+                cuts = np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1], [True]))) if len(seg) else np.empty(0, np.int64)
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                     part = c[a:b]
-                    rows["seg"].append(s)
+                    rows["seg"].append(seg[a])
                     rows["one"].append(one)
                     rows["h"].append(h[a:b].tobytes())
                     rows["c"].append(part.astype(np.uint8 if part.max() < 256 else np.int64).tobytes())
-            return pa.RecordBatch.from_arrays([pa.array(rows["seg"], pa.int32()), pa.array(rows["one"], pa.bool_()), pa.array(rows["h"], pa.binary()), pa.array(rows["c"], pa.binary())], ["seg", "one", "h", "c"])
+            return pa.RecordBatch.from_arrays([pa.array(rows["seg"], pa.int64()), pa.array(rows["one"], pa.bool_()), pa.array(rows["h"], pa.binary()), pa.array(rows["c"], pa.binary())], ["seg", "one", "h", "c"])
 
         for batch in batches:
             for _, _, w in words(batch.column(0)):
                 tokens, ends = _tokens(w)
-                held.append((True, *np.unique(mix(tokens), return_counts=True)))
-                held.append((False, *np.unique(pairs(_before(tokens, ends), tokens), return_counts=True)))
-                total += len(held[-1][1]) + len(held[-2][1])
+                for one, grams in ((True, mix(tokens)), (False, pairs(_before(tokens, ends), tokens))):
+                    h, c = np.unique(grams, return_counts=True)
+                    held[one].append((h, c.astype(np.uint32)))
+                    total += len(h)
                 if total > HELD:
                     yield out()
-                    held, total = [], 0
-        if held:
-            yield out()
+                    total = 0
+        yield out()
 
-    def build(table: pa.Table) -> pa.Table:
-        seg = table["seg"][0].as_py()
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros((size + 7) // 8, dtype=np.uint8)
         by: dict[bool, list] = {True: [], False: []}
-        for one, h, c in zip(table["one"].to_pylist(), table["h"].to_pylist(), table["c"].to_pylist(), strict=True):
-            grams = np.frombuffer(h, dtype=np.uint64)
-            by[one].append((grams, np.frombuffer(c, dtype=np.uint8 if len(c) == len(grams) else np.int64)))
-        for one, held in by.items():
+        seg, many = None, 0
+        for batch in batches:
+            seg = batch.column(0)[0].as_py()
+            for one, h, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                grams = np.frombuffer(h, dtype=np.uint64)
+                by[one].append((grams, np.frombuffer(c, dtype=np.uint8 if len(c) == len(grams) else np.int64)))
+                many += len(grams)
+                if many > HELD:
+                    by = {k: [_summed(x)] for k, x in by.items()}
+                    many = 0
+        for held in by.values():
             h, c = _summed(held)
-            if not one:
-                h, c = h[c >= least], c[c >= least]
             q = level(c)
             while len(h):
                 for j in range(PROBES):
                     pos = place(h, q, j, size)
                     np.bitwise_or.at(bits, pos >> 3, np.left_shift(1, pos & 7).astype(np.uint8))
                 h, q = h[q > 1], q[q > 1] - 1
-        return pa.table({"seg": pa.array([seg], pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary())})
+        yield pa.RecordBatch.from_arrays([pa.array([seg], pa.int64()), pa.array([bits.tobytes()], pa.binary())], ["seg", "bits"])
 
-    return docs.select(text_col).mapInArrow(gather, "seg int, one boolean, h binary, c binary").groupBy("seg").applyInArrow(build, "seg int, bits binary")
+    return docs.select(text_col).mapInArrow(gather, "seg long, one boolean, h binary, c binary").groupBy("seg").applyInArrow(build, "seg long, bits binary")
 
 
-def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Trained:
-    """The model of all texts of ``docs``. Null texts are empty texts, an empty table has no tokens.
+def count(docs: DataFrame, text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> Counted:
+    """Counts of all texts of ``docs``. Null texts are empty texts, an empty table has no tokens.
 
-    What reaches the driver: HEADS tokens at most, and the filter, of MAX_BYTES at most.
+    What reaches the driver: HEADS tokens at most, and the filter if it has ``broadcast_bytes`` at most.
     """
-    table = saved(_count_tokens(docs, text_col))
+    table = saved(_count_tokens(batched(docs), text_col))
 
     def middles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,120 +294,256 @@ def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Tr
     head = table.filter(F.col("c") * HEADS >= total).toArrow()
     h, c = head["h"].to_numpy().view(np.uint64), head["c"].to_numpy()
     order = np.argsort(h)
-    size = max(LEAST_SEGMENT // 8, ceil(min(BITS * total, MAX_BYTES * 8) / (8 << SEGMENT_BITS))) * 8
-    least = max(1, ceil(BITS * total / (MAX_BYTES * 8)))
-    bits = np.zeros((1 << SEGMENT_BITS, size // 8), dtype=np.uint8)
-    for row in saved(_segments(docs, text_col, size, least)).toLocalIterator():
-        bits[row["seg"]] = np.frombuffer(row["bits"], dtype=np.uint8)
-    model = Model(total, distinct, mass, h[order], c[order], Filter(size, bits.reshape(-1)))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # HEADS tokens and MAX_BYTES at most
-    return Trained(shared, _weights(docs, shared, text_col, id_col), total, distinct, table)
+    top = max(SEGMENT_BITS, ceil(log2(max(total, 1) / SEGMENT_TOKENS)))
+    size = max(LEAST_SEGMENT // 8, ceil(BITS * total / (8 << top))) * 8
+    sc = docs.sparkSession.sparkContext
+    segments = saved(_segments(docs, text_col, top, size))
+    shared = None
+    if size << top <= broadcast_bytes * 8:
+        bits = np.zeros((1 << top, size // 8), dtype=np.uint8)
+        for row in segments.toLocalIterator():
+            bits[row["seg"]] = np.frombuffer(row["bits"], dtype=np.uint8)
+        shared = sc.broadcast(Filter(top, size, bits.reshape(-1)))
+    return Counted(total, distinct, mass, table, sc.broadcast(Heads(h[order], c[order])), top, size, segments, shared)
 
 
-def _weights(docs: DataFrame, shared: Broadcast, text_col: str, id_col: str) -> np.ndarray:
-    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        hist = np.zeros((len(MIDDLE), STEPS), dtype=np.int64)
-        for batch in batches:
-            for _, _, w in words(batch.column(0)):
-                x = m.look(*_tokens(w))
-                others = np.maximum(x.both - 1, 0)
-                ratio = others / np.maximum(np.maximum(MIDDLE[x.before], x.both) - 1, 1) / x.single
-                step = np.where(others > 0, np.clip(np.round(np.log10(np.maximum(ratio, 1e-9)) * 10) + 60, 1, STEPS - 1), 0).astype(np.int64)
-                hist += np.bincount(x.before * STEPS + step, minlength=hist.size).reshape(hist.shape)
-        q, step = np.nonzero(hist)
-        yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(step.astype(np.int32)), pa.array(hist[q, step])], ["q", "step", "n"])
-
-    mark = F.xxhash64(id_col)
-    last = docs.select(mark.alias("h")).orderBy("h").limit(WEIGHT_DOCS).agg(F.max("h")).first()[0]
-    few = docs.filter(mark <= F.lit(last)).select(text_col)
-    got = few.mapInArrow(seen, "q int, step int, n long").groupBy("q", "step").agg(F.sum("n").alias("n")).toArrow()
-    hist = np.zeros((len(MIDDLE), STEPS))
-    hist[got["q"].to_numpy(), got["step"].to_numpy()] = got["n"].to_numpy()
-    ratio = np.concatenate(([0], 10 ** ((np.arange(1, STEPS) - 60) / 10)))
-    share = np.full(len(MIDDLE), 0.5)
-    for _ in range(50):
-        part = share[:, None] * ratio / (share[:, None] * ratio + 1 - share[:, None])
-        share = np.minimum((hist * part).sum(axis=1) / np.maximum(hist.sum(axis=1), 1), 0.99)
-    return share
+class Looked:
+    """The table of looked-up rows: each row's number of tokens and levels, exact counts of its frequent tokens, its other
+    tokens; and the input's columns but for the text, under names of their own (``kept``: own name by input name)."""
 
+    def __init__(self, rows: DataFrame, kept: dict[str, str]):
+        self.rows, self.kept = rows, kept
 
-def score(docs: DataFrame, model: Trained, text_col: str = "text") -> DataFrame:
-    """``docs`` with n_tokens, n_known, train_tokens, base_score, score (log10 probabilities of the whole text).
+    def filter(self, condition) -> Looked:
+        """Rows for which a condition on the table's own names holds."""
+        return Looked(self.rows.filter(condition), self.kept)
 
-    Null texts are empty texts: one token, the end. ``base_score`` uses exact counts. Repeated rows are scored
-    alike; columns of those names are replaced, others kept.
-    """
-    added = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    docs = docs.drop(*added)
-    keep = docs.columns
-    shared, weight = model.shared, model.weight
-    k = keep.index(text_col)
-    rest = [c for c in keep if c != text_col]
-    schema = widened(docs.select(*rest), _key="string", n_tokens="long", score="double", _known="long", _log="double", _tail="array<long>", _times="array<int>")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
+_ROW = "_key string, _n long, _known long, _log double, _tail array<long>, _times array<int>"
 
-        m = shared.value
+
+def look(docs: DataFrame, model: Counted, text_col: str = "text") -> Looked:
+    """Every row of ``docs`` with its tokens' levels, written once: rows get a key that must not be made a second time."""
+    rest = [c for c in docs.columns if c != text_col]
+    kept = {c: f"_c{i}" for i, c in enumerate(rest)}
+    source = batched(docs).select(*[F.col(f"`{c}`").alias(n) for c, n in kept.items()], F.col(text_col).alias("_text"))
+    fields = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in source.drop("_text").schema), _ROW])
+    k = len(rest)
+    heads, shared = model.heads, model.shared
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = heads.value
+        whole = shared.value if shared is not None else None
         unit = uuid.uuid4().hex
         done = 0
-        logs = np.log10(m.head_count + 1.0)
+        logs = np.log10(head.counts + 1.0)
         for batch in batches:
             for a, b, w in words(batch.column(k)):
                 tokens, ends = _tokens(w)
-                begins = np.concatenate(([0], ends[:-1]))
                 n = b - a
-                x = m.look(tokens, ends)
-                uniq, inv = x.uniq, x.inv
-                share = weight[x.before]
-                logp = np.log10(share * x.both / np.maximum(np.maximum(MIDDLE[x.before], x.both), 1) + (1 - share) * x.single)
-                found = np.searchsorted(m.head, uniq)
-                found[found == len(m.head)] = 0
-                known = m.head[found] == uniq if len(m.head) else np.zeros(len(uniq), bool)
-                log = np.where(known, logs[found], 0.0)[inv] if len(m.head) else np.zeros(len(tokens))
-                sums = lambda x: np.add.reduceat(x, begins)  # noqa: E731, B023
+                x = Asked(tokens, ends)
+                found = np.searchsorted(head.tokens, x.uniq)
+                found[found == len(head.tokens)] = 0
+                known = head.tokens[found] == x.uniq if len(head.tokens) else np.zeros(len(x.uniq), bool)
+                log = np.where(known, logs[found], 0.0)[x.inv] if len(head.tokens) else np.zeros(len(tokens))
+                sums = lambda v: np.add.reduceat(v, x.begins)  # noqa: E731, B023
                 # tokens that are no heads: distinct by row, with how often they are there
-                row = np.repeat(np.arange(n), ends - begins)
-                rare = np.flatnonzero(~known[inv])
-                order = rare[np.lexsort((inv[rare], row[rare]))]
-                r, t = row[order], inv[order]
+                row = np.repeat(np.arange(n), ends - x.begins)
+                rare = np.flatnonzero(~known[x.inv])
+                order = rare[np.lexsort((x.inv[rare], row[rare]))]
+                r, t = row[order], x.inv[order]
                 first = np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (t[1:] != t[:-1]))) if len(r) else np.empty(0, np.int64)
                 times = np.diff(np.append(first, len(r)))
                 cuts = np.searchsorted(r[first], np.arange(n + 1)).astype(np.int32)
-                lists = lambda x: pa.ListArray.from_arrays(pa.array(cuts), x)  # noqa: E731, B023
+                lists = lambda v: pa.ListArray.from_arrays(pa.array(cuts), v)  # noqa: E731, B023
                 part = batch.slice(a, n)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *[part.column(i) for i in range(len(keep)) if i != k],
-                        pa.array([f"{unit}-{done + i}" for i in range(n)]),
-                        pa.array((ends - begins).astype(np.int64)), pa.array(sums(logp)), pa.array(sums(known[inv].astype(np.int64))), pa.array(sums(log)),
-                        lists(pa.array(uniq[t[first]].view(np.int64))), lists(pa.array(times.astype(np.int32))),
-                    ],
-                    names=[*rest, "_key", "n_tokens", "score", "_known", "_log", "_tail", "_times"],
-                )
+                columns = [
+                    *[part.column(i) for i in range(k)],
+                    pa.array([f"{unit}-{done + i}" for i in range(n)]),
+                    pa.array((ends - x.begins).astype(np.int64)), pa.array(sums(known[x.inv].astype(np.int64))), pa.array(sums(log)),
+                    lists(pa.array(x.uniq[t[first]].view(np.int64))), lists(pa.array(times.astype(np.int32))),
+                ]
+                if whole is not None:
+                    body, each = x.codes(whole.levels(mix(x.uniq)), whole.levels(x.two)), 3
+                else:
+                    body, each = tokens, 8
+                yield pa.RecordBatch.from_arrays([*columns, _cells(body, ends, each), pa.array([f"{unit}-{done}"] * n)], names=[*kept.values(), "_key", "_n", "_known", "_log", "_tail", "_times", "_body", "_unit"])
                 done += n
 
-    # written once: the rows' keys are the task's own, so they must not be made a second time
-    scored = saved(docs.mapInArrow(run, schema))
-    tail = scored.select("_key", F.explode(F.arrays_zip("_tail", "_times")).alias("x")).select("_key", F.col("x._tail").alias("h"), F.col("x._times").alias("t"))
+    rows = saved(source.mapInArrow(run, f"{fields}, _body binary, _unit string"))
+    if shared is None:
+        rows = saved(_dealt(rows, model, fields))
+    return Looked(rows, kept)
+
+
+def _cells(values: np.ndarray, ends: np.ndarray, each: int) -> pa.Array:
+    """A binary value for each row: its tokens' ``each`` bytes."""
+    cuts = np.concatenate(([0], ends)) * each
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+
+
+def _dealt(rows: DataFrame, model: Counted, fields: str) -> DataFrame:
+    """``rows`` with levels in place of tokens: each unit's distinct n-grams are asked where their segment is.
+
+    The questions to a segment stream past its bits, so one that is asked very often takes no more room.
+    """
+    top, size = model.top, model.size
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for unit, tokens, ends in _units(batch.column(0), batch.column(1)):
+                x = Asked(tokens, ends)
+                grams = np.unique(np.concatenate((mix(x.uniq), x.two)))
+                seg = segment(grams, top)
+                first = np.flatnonzero(np.append(True, seg[1:] != seg[:-1]))
+                cut = pa.py_buffer((np.append(first, len(grams)) * 8).astype(np.int32))
+                data = pa.Array.from_buffers(pa.binary(), len(first), [None, cut, pa.py_buffer(grams)])
+                yield pa.RecordBatch.from_arrays([pa.array(seg[first]), pa.array(np.ones(len(first), np.int32)), pa.array([unit] * len(first)), data], ["seg", "kind", "unit", "data"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, bits = None, None
+        for batch in batches:
+            units, grams, levels = [], [], []
+            for seg, kind, unit, data in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
+                if seg != own:
+                    own, bits = seg, None
+                if kind == 0:
+                    bits = np.frombuffer(data, dtype=np.uint8)
+                    continue
+                asked = np.frombuffer(data, dtype=np.uint64)
+                units.append(unit)
+                grams.append(data)
+                levels.append((probe(bits, size, asked) if bits is not None else np.zeros(len(asked), np.uint8)).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(units, pa.string()), pa.array(grams, pa.binary()), pa.array(levels, pa.binary())], ["unit", "grams", "levels"])
+
+    asked = rows.select("_unit", "_body").mapInArrow(ask, "seg long, kind int, unit string, data binary")
+    held = model.segments.select("seg", F.lit(0).alias("kind"), F.lit("").alias("unit"), F.col("bits").alias("data"))
+    replies = saved(held.unionByName(asked).repartition("seg").sortWithinPartitions("seg", "kind").mapInArrow(answer, "unit string, grams binary, levels binary"))
+    names = [f.name for f in rows.drop("_unit").schema]
+    at = names.index("_body")
+
+    def put(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.select([*names, "_unit"])
+        grams = np.frombuffer(b"".join(right["grams"].to_pylist()), dtype=np.uint64)
+        levels = np.frombuffer(b"".join(right["levels"].to_pylist()), dtype=np.uint8)
+        order = np.argsort(grams, kind="stable")
+        grams, levels = grams[order], levels[order]
+        body = left["_body"].combine_chunks()
+        tokens, ends = _joined(body)
+        x = Asked(tokens, ends)
+        find = lambda h: levels[np.searchsorted(grams, h)]
+        return left.set_column(at, "_body", _cells(x.codes(find(mix(x.uniq)), find(x.two)), ends, 3))
+
+    return rows.groupBy("_unit").cogroup(replies.groupBy("unit")).applyInArrow(put, f"{fields}, _body binary, _unit string")
+
+
+def _joined(body: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of rows, and where each row ends."""
+    cuts = _offsets(body).astype(np.int64)
+    data = np.frombuffer(body.buffers()[2], dtype=np.uint8)[cuts[0] : cuts[-1]]
+    return data.copy().view(np.uint64), (cuts[1:] - cuts[0]) // 8
+
+
+def _units(unit: pa.Array, body: pa.Array) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Rows that follow each other in one unit: tokens and ends. A unit that is cut is asked for twice, no matter."""
+    names = unit.to_pylist()
+    first = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1])] if names else []
+    for a, b in zip(first, [*first[1:], len(names)], strict=True):
+        yield names[a], *_joined(body.slice(a, b - a))
+
+
+def _triples(body: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The rows' level triples as numbers, and where each row begins. Every row has a token."""
+    cuts = _offsets(body).astype(np.int64)
+    x = np.frombuffer(body.buffers()[2], dtype=np.uint8)[cuts[0] : cuts[-1]].reshape(-1, 3).astype(np.int32)
+    return x[:, 0] << 14 | x[:, 1] << 7 | x[:, 2], (cuts[:-1] - cuts[0]) // 3
+
+
+def fit_weights(looked: Looked, model: Counted) -> np.ndarray:
+    """The weights a by level, by expectation-maximisation over the triples of all rows. Levels without a token have 0."""
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << 21, dtype=np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                total += np.bincount(_triples(batch.column(0))[0], minlength=len(total))
+        k = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], ["k", "n"])
+
+    got = looked.rows.select("_body").mapInArrow(seen, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()  # 2 ** 21 rows at most
+    return weights_of(got["k"].to_numpy(), got["n"].to_numpy(), model.single())
+
+
+def weights_of(k: np.ndarray, n: np.ndarray, single: np.ndarray, steps: int = 50) -> np.ndarray:
+    before, both = k >> 14, MIDDLE[(k >> 7) & 127]
+    others = np.maximum(both - 1, 0)  # the token itself is left out
+    ratio = others / np.maximum(np.maximum(MIDDLE[before], both) - 1, 1) / single[k & 127]
+    size = np.bincount(before, weights=n, minlength=len(MIDDLE))
+    share = np.full(len(MIDDLE), 0.5)
+    for _ in range(steps):
+        part = share[before] * ratio / (share[before] * ratio + 1 - share[before])
+        share = np.minimum(np.bincount(before, weights=n * part, minlength=len(MIDDLE)) / np.maximum(size, 1), 0.99)
+    return share
+
+
+def log_table(model_single: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """log10 P(w|v) for every triple of levels."""
+    k = np.arange(1 << 21)
+    before, both = k >> 14, MIDDLE[(k >> 7) & 127]
+    share = weight[before]
+    return np.log10(share * both / np.maximum(np.maximum(MIDDLE[before], both), 1) + (1 - share) * model_single[k & 127])
+
+
+def train(docs: DataFrame, text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> Trained:
+    """The model of all texts of ``docs``: counts, filter and weights, each of all rows."""
+    model = count(docs, text_col, broadcast_bytes)
+    return Trained(model, fit_weights(look(docs.select(text_col), model, text_col), model))
+
+
+def score(docs: DataFrame, model: Trained, text_col: str = "text") -> DataFrame:
+    """``docs`` with n_tokens, n_known, train_tokens, base_score, score (log10 probabilities of the whole text).
+
+    Null texts are empty texts: one token, the end. ``base_score`` uses exact counts. Repeated rows are scored
+    alike; columns of those names are replaced, others kept, but for the text.
+    """
+    docs = docs.drop("n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return score_looked(look(docs, model.counted, text_col), model)
+
+
+def score_looked(looked: Looked, trained: Trained) -> DataFrame:
+    model = trained.counted
+    table = looked.rows.sparkSession.sparkContext.broadcast((model.single(), trained.weight))
+    keep = [*looked.kept.values(), "_key", "_n", "_known", "_log"]
+    k = len(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        logs = log_table(*table.value)
+        for batch in batches:
+            if batch.num_rows:
+                triples, begins = _triples(batch.column(k))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(np.add.reduceat(logs[triples], begins))], names=[*keep, "_score"])
+
+    schema = looked.rows.select(*keep).withColumn("_score", F.lit(0.0)).schema
+    scored = looked.rows.select(*keep, "_body").mapInArrow(run, schema)
+    tail = looked.rows.select("_key", F.explode(F.arrays_zip("_tail", "_times")).alias("x")).select("_key", F.col("x._tail").alias("h"), F.col("x._times").alias("t"))
     rare = model.counts.filter(F.col("c") * HEADS < model.total)  # none of these is frequent: no hot key
     exact = tail.join(rare, "h").groupBy("_key").agg(F.sum("t").alias("_more"), F.sum(F.col("t") * F.log10(F.col("c") + 1)).alias("_add"))
     size = float(model.total + model.distinct + 1)
     return scored.join(exact, "_key", "left").select(
-        *rest, "n_tokens",
+        *[F.col(n).alias(c) for c, n in looked.kept.items()], F.col("_n").alias("n_tokens"),
         (F.col("_known") + F.coalesce("_more", F.lit(0))).alias("n_known"),
         F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("_log") + F.coalesce("_add", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(size))).alias("base_score"),
-        "score",
+        (F.col("_log") + F.coalesce("_add", F.lit(0.0)) - F.col("_n") * F.log10(F.lit(size))).alias("base_score"),
+        F.col("_score").alias("score"),
     )
 
 
-def classify(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
+def classify(docs: DataFrame, modulus: int = 7, held: int = 2, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Every row of ``docs`` scored by a model of the rows that aren't held out; a null doc_id is neither held out
-    nor learned from."""
+    nor learned from. The texts are looked up once, for the weights and the scores."""
     rem = remainder("doc_id", modulus)
-    held_out = F.coalesce(rem == held, F.lit(False))
-    return score(docs.select("doc_id", "text", held_out.alias("held_out")), train(docs.filter(rem != held)))
-
-
+    model = count(docs.filter(rem != held), broadcast_bytes=broadcast_bytes)
+    learns = F.coalesce(rem != held, F.lit(False))
+    looked = look(docs.select("doc_id", F.coalesce(rem == held, F.lit(False)).alias("held_out"), learns.alias("learns"), "text"), model)
+    trained = Trained(model, fit_weights(looked.filter(looked.kept["learns"]), model))
+    return score_looked(looked, trained).drop("learns")

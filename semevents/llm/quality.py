@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import boosting
-from .common import remainder, widened
+from .common import batched, remainder, widened
 from .tokens import BLOCK, words
 
 #: The most labelled rows that the classifier is fitted on; those with the smallest hash of the id are taken.
@@ -66,7 +66,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if learn is not None:
         labels = labels.filter(learn)
     picked = labels.groupBy(id_col).agg(F.max("_y").alias("_y")).orderBy(F.xxhash64(id_col), id_col).limit(rows)
-    sample = docs.select(id_col, text_col).filter(F.col(text_col).isNotNull()).join(F.broadcast(picked), id_col)  # at most `rows` rows
+    sample = batched(docs).select(id_col, text_col).filter(F.col(text_col).isNotNull()).join(F.broadcast(picked), id_col)  # at most `rows` rows
 
     def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,7 +89,7 @@ def score_quality(docs: DataFrame, model: boosting.Boosted, text_col: str = "tex
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # trees x nodes, whatever the input
-    docs = docs.drop(score_col)
+    docs = batched(docs).drop(score_col)
     k = docs.columns.index(text_col)
     kept = [i for i in range(len(docs.columns)) if keep_text or i != k]
     schema = widened(docs.select(*[docs.columns[i] for i in kept]), **{score_col: "double"})

@@ -9,7 +9,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes of text that are cut at a time; a longer text is a chunk of its own.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 #: Bytes that are hashed at a time, so that a very long text takes little more room than its words' hashes.
 BLOCK = 4 << 20
 _SEED = np.random.Generator(np.random.PCG64(20240229))
