@@ -19,8 +19,7 @@ from .common import saved
 #: Rows that one (shard, block) numbers by itself when slots are dealt.
 SLOT_BLOCK = 4096
 BINS = 1024
-#: A cut is fine enough when the bin that holds the quantile has this part of the node's bytes, or one row.
-CLOSE = 1e-4
+#: Refinements after which a cut is taken as it is: bins are then finer than doubles can tell apart.
 ROUNDS = 8
 
 
@@ -82,7 +81,7 @@ def grow(meta: DataFrame, dims: list[str], shards: int) -> Node:
 
 
 def _cuts(at: DataFrame, nodes: list[Node], search: dict[int, dict]) -> None:
-    """Refine each node's boundary until the bin around its quantile is light."""
+    """Refine each node's boundary until the bin around its quantile holds one row."""
     active = dict(search)
     for _ in range(ROUNDS):
         if not active:
@@ -91,8 +90,9 @@ def _cuts(at: DataFrame, nodes: list[Node], search: dict[int, dict]) -> None:
         rows = (
             at.filter(F.col("node").isin(list(active)))
             .withColumn("x", pick(lambda i, s: F.col(nodes[i].dim), "double") - pick(lambda i, s: F.lit(float(s["lo"])), "double"))
-            .withColumn("bin", F.floor(F.col("x") / pick(lambda i, s: F.lit(float(s["width"])), "double") * BINS).cast("int"))
-            .filter((F.col("x") >= 0) & (F.col("bin") < BINS))
+            .withColumn("bin", F.col("x") / pick(lambda i, s: F.lit(float(s["width"])), "double") * BINS)
+            .filter((F.col("x") >= 0) & (F.col("bin") < BINS))  # rows elsewhere in the node, however far away
+            .withColumn("bin", F.floor("bin").try_cast("int"))
             .groupBy("node", "bin")
             .agg(F.sum("weight").alias("w"), F.count("*").alias("n"))
             .collect()
@@ -107,7 +107,7 @@ def _cuts(at: DataFrame, nodes: list[Node], search: dict[int, dict]) -> None:
                 if run + w >= s["goal"]:
                     below, above = s["lo"] + b * step, s["lo"] + (b + 1) * step
                     s["best"] = below if s["goal"] - run < run + w - s["goal"] else above
-                    if n == 1 or w <= CLOSE * s["w"] or step <= abs(s["lo"]) * 1e-15:
+                    if n == 1 or step <= max(abs(s["lo"]), 1) * 1e-16:
                         done.append(i)
                     s.update(lo=below, width=step, left=run)
                     break
@@ -123,11 +123,24 @@ def kd_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_co
     """One row per row of ``docs``: id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null).
 
     Size is the text's UTF-8 bytes (null: none) plus 16. Dimensions are the size, the id and the ``tags`` (null
-    is a value of its own; a missing tag column is left out). Equal values are told apart by a hash of the row, so
-    that a group of copies or one source with a third of all rows is cut like any other. Repeated rows that are
-    equal in everything stay together. Null ids are kept. An empty table gives an empty result; extra columns are
-    ignored. Shards are near equal in bytes: each cut is off by half a row's bytes or CLOSE of the node at most.
+    is a value of its own; a missing tag column is left out). Equal values are told apart by a hash of the row and its
+    number in the written table, so that copies, rows that repeat in everything, and one source with a third of all
+    rows are cut like any other. Null ids are kept. An empty table gives an empty result; extra columns are
+    ignored. Shards are near equal in bytes: each cut is off by half a row's bytes at most.
     """
+    rows, dims = measured(docs, id_col, text_col, tags)
+    tree = grow(rows.select(F.col("size").alias("weight"), *dims), dims, shards)
+    blocks = max(1, ceil(rows.count() / (shards * SLOT_BLOCK)))
+    placed = rows.select(
+        "doc_id", "size", "text_crc32", "u",
+        _walk(tree, lambda n: F.lit(n.first)).alias("shard"),
+        F.pmod(F.xxhash64("u", F.lit(7)), F.lit(blocks)).alias("block"),
+    )
+    return _slots(placed, id_col)
+
+
+def measured(docs: DataFrame, id_col: str, text_col: str, tags: tuple[str, ...]) -> tuple[DataFrame, list[str]]:
+    """The written rows (doc_id, size, text_crc32, u) with their dimensions, and the dimensions' names."""
     tags = tuple(t for t in tags if t in docs.columns)
     body = F.col(text_col).cast("binary")
     meta = saved(
@@ -136,31 +149,17 @@ def kd_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_co
             (F.coalesce(F.octet_length(body), F.lit(0)).cast("long") + 16).alias("size"),
             F.crc32(F.coalesce(body, F.lit(b""))).alias("text_crc32"),
             *[(F.crc32(F.coalesce(F.col(t).cast("string"), F.lit("\0")).cast("binary")) % 1024).cast("double").alias(f"tag_{t}") for t in tags],
+            F.monotonically_increasing_id().alias("row"),
         )
     )
-    u = (F.shiftrightunsigned(F.xxhash64("doc_id", "text_crc32", "size"), 12) / F.lit(float(1 << 52))).alias("u")
-    rows = meta.select("*", u)
-    cut = rows.select(
-        F.col("size").alias("weight"),
-        (F.col("size") + F.col("u")).alias("d_size"),
-        *[(F.col(f"tag_{t}") + F.col("u")).alias(f"d_{t}") for t in tags],
-        (F.coalesce("doc_id", F.lit(0)).cast("double") + F.col("u")).alias("d_id"),
-    )
-    dims = ["d_size", *[f"d_{t}" for t in tags], "d_id"]
-    tree = grow(cut, dims, shards)
-    named = rows.select(
+    u = (F.shiftrightunsigned(F.xxhash64("doc_id", "text_crc32", "size", "row"), 12) / F.lit(float(1 << 52))).alias("u")
+    rows = meta.select("*", u).select(
         "doc_id", "size", "text_crc32", "u",
         (F.col("size") + F.col("u")).alias("d_size"),
         *[(F.col(f"tag_{t}") + F.col("u")).alias(f"d_{t}") for t in tags],
         (F.coalesce("doc_id", F.lit(0)).cast("double") + F.col("u")).alias("d_id"),
     )
-    blocks = max(1, ceil(meta.count() / (shards * SLOT_BLOCK)))
-    placed = named.select(
-        "doc_id", "size", "text_crc32", "u",
-        _walk(tree, lambda n: F.lit(n.first)).alias("shard"),
-        F.pmod(F.xxhash64("u", F.lit(7)), F.lit(blocks)).alias("block"),
-    )
-    return _slots(placed, id_col)
+    return rows, ["d_size", *[f"d_{t}" for t in tags], "d_id"]
 
 
 def _slots(placed: DataFrame, id_col: str) -> DataFrame:

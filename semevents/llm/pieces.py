@@ -18,7 +18,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import widened
+from .common import batched, widened
 
 SPACE = "▁"
 #: Words whose pieces a worker remembers; beyond it, it forgets all and starts anew.
@@ -143,7 +143,7 @@ def encode_pieces(docs: DataFrame, model: bytes, text_col: str = "text", keep_id
     repeated rows are encoded alike.
     """
     added = (["ids"] if keep_ids else []) + ["n_pieces", "piece_score"] + (["ids_crc32", "round_trip"] if digest else [])
-    docs = docs.drop(*added)
+    docs = batched(docs).drop(*added)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a vocabulary file
     k = docs.columns.index(text_col)
     kinds = {"ids": "array<int>", "n_pieces": "int", "piece_score": "double", "ids_crc32": "bigint", "round_trip": "boolean"}

@@ -474,21 +474,51 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("copies", [0, 3000])
-def test_kd_shards(spark, copies):
+@pytest.mark.parametrize("own, copies, equal", [(4000, 0, 0), (1000, 3000, 0), (500, 0, 1500), (0, 0, 2000)])
+def test_kd_shards(spark, own, copies, equal):
     rng = np.random.default_rng(6)
-    made = [(i, "y" * int(rng.integers(1, 400)), "s%d" % (i % 3)) for i in range(4000)] + [(5000 + i, "copy" * 20, "s0") for i in range(copies)] + [(None, None, None), (9, "", "s1"), (9, "", "s1")]
+    made = [(i, "y" * int(rng.integers(1, 400)), "s%d" % (i % 3)) for i in range(own)] + [(5000 + i, "copy" * 20, "s0") for i in range(copies)] + [(7, "same " * 9, "s1")] * equal
+    made += [(None, None, None), (9, "", "s1"), (9, "", "s1")]
     out = kd_shards.kd_shards(spark.createDataFrame(made, "doc_id bigint, text string, source string")).collect()
     size, slots = Counter(), defaultdict(list)
     for r in out:
         size[r["shard"]] += r["size"]
         slots[r["shard"]].append(r["slot"])
     assert len(out) == len(made) and set(size) == set(range(40))
-    assert max(size.values()) - min(size.values()) < 0.12 * sum(size.values()) / 40
+    assert max(size.values()) - min(size.values()) <= 5 * max(r["size"] for r in out)  # half a row for each of six cuts, on both sides
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in out) == Counter((d, 16 + len(t or ""), zlib.crc32((t or "").encode())) for d, t, _ in made)
 
 
+def test_kd_tree_is_brute_force(spark):
+    rng = np.random.default_rng(9)
+    made = [(int(rng.integers(0, 10**6)), "z" * int(rng.zipf(1.6) % 3000), "s%d" % rng.zipf(2)) for _ in range(700)] + [(3, "same", "s1")] * 300
+    rows, dims = kd_shards.measured(spark.createDataFrame(made, "doc_id bigint, text string, source string"), "doc_id", "text", ("source", "lang"))
+    tree = kd_shards.grow(rows.select(F.col("size").alias("weight"), *dims), dims, 13)
+    got = {r["u"]: r["shard"] for r in rows.select("u", kd_shards._walk(tree, lambda n: F.lit(n.first)).alias("shard")).collect()}
+    x = [{d: r[d] for d in dims} | {"u": r["u"], "w": r["size"]} for r in rows.collect()]
+    whole = {d: max(r[d] for r in x) - min(r[d] for r in x) for d in dims}
+    want = {}
+
+    def cut(some, shards, first):
+        if shards == 1:
+            want.update({r["u"]: first for r in some})
+            return
+        dim = max(dims, key=lambda d: (max(r[d] for r in some) - min(r[d] for r in some)) / whole[d])
+        some = sorted(some, key=lambda r: r[dim])
+        goal, run, half = sum(r["w"] for r in some) * (shards // 2) / shards, 0, shards // 2
+        for k, r in enumerate(some):
+            if run + r["w"] >= goal:
+                k += not goal - run < run + r["w"] - goal  # the row goes to the side that is then nearer to its goal
+                break
+            run += r["w"]
+        cut(some[:k], half, first)
+        cut(some[k:], shards - half, first + half)
+
+    cut(x, 13, 0)
+    assert got == want
+
+
 def test_kd_shards_edges(spark, empty):
     assert kd_shards.kd_shards(empty).count() == 0
     one = kd_shards.kd_shards(spark.createDataFrame([(1, "a")], "doc_id bigint, text string")).collect()
