@@ -385,6 +385,38 @@ def test_levels_of_long_chains(spark):
     assert got == {str(i): i for i in range(n)} | dict.fromkeys("abcd")
 
 
+def test_levels_of_graphs(spark):
+    rng = np.random.default_rng(3)
+    after = {i: [int(x) for x in rng.integers(0, i, int(rng.integers(0, 4)))] for i in range(1, 300)} | {0: [], 300: [300], 301: [5, 300], 302: None, 303: [999, 2], 304: [303, None]}
+    for i in range(400, 800):  # a ladder: each waits for the two before
+        after[i] = [i - 1, i - 2] if i > 401 else []
+        if i > 420:
+            after[i] = [i - 1]
+
+    def level(i):
+        ups = [u for u in after[i] or [] if u in after]
+        return None if i in (300, 301) else max((known[u] + 1 for u in ups), default=0)
+
+    known = {}
+    for i in sorted(after):
+        known[i] = level(i)
+    made = [(str(i), None if a is None else [None if x is None else str(x) for x in a]) for i, a in after.items()]
+    got = {int(r["call_id"]): r["level"] for r in tool_chat.levels(spark.createDataFrame(made, "call_id string, after array<string>")).collect()}
+    assert got == known
+
+
+def test_nested_schemas(spark):
+    schema = {"properties": {
+        "a": {"type": ["integer", "null"]}, "b": {"type": "array", "items": {"type": "object", "properties": {"c": {"enum": ["x", 2, None]}}, "required": ["c"], "additionalProperties": False}},
+        "n": {"type": "number", "minimum": 0, "maximum": 10},
+    }}
+    good = ["{}", '{"a":1}', '{"a":null}', '{"b":[]}', '{"b":[{"c":"x"},{"c":2},{"c":null}]}', '{"n":0.5,"z":[1]}']
+    bad = ['{"a":"1"}', '{"b":{}}', '{"b":[{"c":"y"}]}', '{"b":[{}]}', '{"b":[{"c":2,"d":1}]}', '{"b":[1]}', '{"n":-1}', '{"n":11}', "[]", "1", "no", None]
+    df = spark.createDataFrame([(x, x in good) for x in good + bad], "x string, want boolean")
+    out = df.select("x", "want", tool_chat.valid_arguments(F.lit("t"), F.col("x"), {"t": schema}).alias("got")).collect()
+    assert [(r["x"], r["got"]) for r in out] == [(r["x"], r["want"]) for r in out]
+
+
 # -- 6, 7 ------------------------------------------------------------------------------------------------------------
 def test_forward_sums_all_segmentations(model):
     grid = language.Grid.of(model)
@@ -458,7 +490,7 @@ def test_neighbours(spark):
     v[700] = 0
     made = [(i, x.tolist()) for i, x in enumerate(v)] + [(2000, None), (2050, [None] + [1.0] * 7), (2100, [float("nan")] + [1.0] * 7), (None, [1.0] * 8), (50, v[50].tolist())]
     df = spark.createDataFrame(made, "vec_id bigint, embedding array<double>")
-    got = [tuple(r) for r in neighbours.nearest(df, shard_rows=400, query_rows=10).orderBy("query_id", "rank").collect()]
+    got = [tuple(r) for r in neighbours.nearest(df, shard_rows=400).orderBy("query_id", "rank").collect()]
     want = []
     good = [i for i in range(1500) if i != 700]
     for q in range(0, 1500, 50):
@@ -474,6 +506,28 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.limit(0)).count() == 0
 
 
+def test_neighbours_of_ties(spark):
+    """Multiples of one vector, near-identical ones and copies: as plain SQL orders them."""
+    import duckdb
+
+    rng = np.random.default_rng(14)
+    v = rng.normal(size=(1200, 8))
+    v[100:300] = v[100] * rng.integers(1, 9, size=(200, 1))
+    v[300:500] = v[300] + 1e-9 * rng.normal(size=(200, 8))
+    v[500:620] = v[500]
+    v[620:640] = v[500] * 2
+    made = [(i, x.tolist()) for i, x in enumerate(v)] + [(50, (-v[50]).tolist()), (100, v[100].tolist())]
+    df = spark.createDataFrame(made, "vec_id bigint, embedding array<double>")
+    got = [tuple(r) for r in neighbours.nearest(df, shard_rows=300).orderBy("query_id", "rank").collect()]
+    one = {}
+    for i, x in made:
+        one[i] = min(one.get(i, x), x)
+    db = duckdb.connect()
+    db.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
+    db.executemany("INSERT INTO embeddings VALUES (?, ?)", list(one.items()))
+    assert got == db.execute(neighbours.ORACLE + " ORDER BY query_id, rank").fetchall()
+
+
 @pytest.mark.parametrize("own, copies, equal", [(4000, 0, 0), (1000, 3000, 0), (500, 0, 1500), (0, 0, 2000)])
 def test_kd_shards(spark, own, copies, equal):
     rng = np.random.default_rng(6)
