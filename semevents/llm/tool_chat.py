@@ -7,10 +7,13 @@ gathered into one row or one task, so a conversation with a third of all message
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import saved
+from .common import release, saved
 
 # JSON Schema type names and the type names of Spark's variants that satisfy them.
 TYPES = {
@@ -24,60 +27,95 @@ TYPES = {
 }
 
 
+def accepts(v: Column, schema: dict) -> Column:
+    """Whether a variant is what a schema asks for: ``type`` (a name or a list of names), ``enum``, for objects
+    ``properties``, ``required`` and ``additionalProperties`` (true or false), for arrays ``items``, for numbers ``minimum`` and
+    ``maximum``. Schemas nest. What a schema says of another type than the value's does not bear on it."""
+    kind = F.schema_of_variant(v)
+    is_object, is_array = kind.rlike(TYPES["object"]), kind.rlike(TYPES["array"])
+    out = F.lit(True)
+    if "type" in schema:
+        names = [schema["type"]] if isinstance(schema["type"], str) else schema["type"]
+        if unknown := set(names) - set(TYPES):
+            raise ValueError(f"unknown types in a schema: {sorted(unknown)}")
+        out = out & kind.rlike("|".join(TYPES[n] for n in names))
+    if "enum" in schema:
+        out = out & F.to_json(v).isin([json.dumps(x, sort_keys=True, ensure_ascii=False, separators=(",", ":")) for x in schema["enum"]])
+    keys = F.json_object_keys(F.when(is_object, F.to_json(v)))
+    fields = schema.get("properties", {})
+    for key in schema.get("required", []):
+        out = out & (~is_object | F.coalesce(F.array_contains(keys, F.lit(key)), F.lit(False)))
+    for key, rule in fields.items():
+        there = F.coalesce(F.array_contains(keys, F.lit(key)), F.lit(False))
+        out = out & (~there | F.coalesce(accepts(F.try_variant_get(v, f"$['{key}']", "variant"), rule), F.lit(False)))
+    if not schema.get("additionalProperties", True):
+        out = out & (~is_object | (F.size(F.array_except(keys, F.array(*[F.lit(k) for k in fields]).cast("array<string>"))) == 0))
+    if "items" in schema:
+        each = F.coalesce(F.when(is_array, F.try_variant_get(v, "$", "array<variant>")), F.array().cast("array<variant>"))
+        out = out & F.forall(each, lambda x: F.coalesce(accepts(x, schema["items"]), F.lit(False)))
+    number = F.when(kind.rlike(TYPES["number"]), F.try_variant_get(v, "$", "double"))
+    for name, holds in (("minimum", lambda n: number >= n), ("maximum", lambda n: number <= n)):
+        if name in schema:
+            out = out & F.coalesce(holds(F.lit(float(schema[name]))), F.lit(True))
+    return out
+
+
 def valid_arguments(name: Column, arguments: Column, schemas: dict[str, dict]) -> Column:
-    """True if ``arguments`` is a JSON object that the named tool's schema accepts.
+    """True if ``arguments`` is a JSON object that the named tool's schema accepts (see ``accepts``).
 
-    A schema has ``properties`` ({field: {"type": ...}}), ``required`` (fields) and ``additionalProperties``
-    (true unless given). A tool without a schema, or text that is no JSON object, is not valid.
+    A tool without a schema, or text that is no JSON object, is not valid.
     """
     v = F.try_parse_json(arguments)
-    is_object = F.coalesce(F.schema_of_variant(v).rlike("^OBJECT"), F.lit(False))
     out = F.lit(False)
     for tool, schema in schemas.items():
-        ok = is_object
-        fields = schema.get("properties", {})
-        for key in schema.get("required", []):
-            ok = ok & F.coalesce(F.array_contains(F.json_object_keys(arguments), F.lit(key)), F.lit(False))
-        for key, rule in fields.items():
-            kind = F.schema_of_variant(F.try_variant_get(v, f"$['{key}']", "variant"))
-            ok = ok & F.coalesce(kind.rlike(TYPES[rule["type"]]), F.lit(True))
-        if not schema.get("additionalProperties", True):
-            ok = ok & F.coalesce(F.size(F.array_except(F.json_object_keys(arguments), F.array(*[F.lit(k) for k in fields]))) == 0, F.lit(False))
-        out = F.when(name == F.lit(tool), ok).otherwise(out)
+        out = F.when(name == F.lit(tool), F.coalesce(accepts(v, {"type": "object"} | schema), F.lit(False))).otherwise(out)
     return out
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """(call_id, level): 0 for a call that waits for nothing, else one more than the call it waits for.
+    """(call_id, level): 0 for a call that waits for nothing, else one more than the highest of those it waits for.
 
-    ``calls`` has one row per call_id, and ``after``: the call it waits for, or null. A call that waits for one
-    that isn't there has level 0. Pointer doubling: chains of length n take log2(n) joins, each written to the
-    shared folder. Each round ends some chain as long as any is open; if none ends, what is left are cycles and the
-    calls that wait for them, which keep level null.
+    ``calls`` has one row per call_id, and ``after``: the call it waits for, an array of calls, or null. Calls that aren't
+    there are not waited for. Each round takes what is already ordered into account, and where a call has one call left
+    to wait for, waits for what that one waits for (pointer doubling): chains of n calls take log2(n) rounds, and more
+    rounds are needed only along calls that wait for several open ones. Each is written to the shared folder, and orders some
+    call as long as any can be; if none is, what is left are cycles and what waits for them, which keep level null.
     """
-    at = saved(
-        calls.alias("c")
-        .join(calls.select(F.col("call_id").alias("p")), F.col("c.after") == F.col("p"), "left")
-        .select("c.call_id", F.col("p").alias("up"), F.when(F.col("p").isNull(), 0).otherwise(1).cast("long").alias("level"))
+    many = isinstance(calls.schema["after"].dataType, T.ArrayType)
+    after = F.col("after") if many else F.array("after")
+    pairs = calls.select("call_id", F.explode_outer(after).alias("up")).filter("up IS NOT NULL").distinct()
+    there = pairs.join(calls.select(F.col("call_id").alias("up")), "up").select("call_id", "up", F.lit(1).cast("long").alias("far"))
+    none = F.lit(None).cast(calls.schema["call_id"].dataType)
+    # a row a call: the highest level known so far, how many calls are open before it, and one of them with its distance
+    sums = lambda steps: steps.groupBy("call_id").agg(
+        F.max("least").alias("least"), F.count("up").alias("open"), F.max("up").alias("up"), F.max(F.when(F.col("up").isNotNull(), F.col("far"))).alias("far")
     )
-    pending = lambda: at.filter("up IS NOT NULL").count()
-    left, before = pending(), None
-    while left and left != before:
-        up = at.select(F.col("call_id").alias("u"), F.col("up").alias("up2"), F.col("level").alias("level2"))
-        at = saved(
-            at.join(up, F.col("up") == F.col("u"), "left").select(
-                "call_id", F.col("up2").alias("up"), (F.col("level") + F.coalesce("level2", F.lit(0))).alias("level")
-            )
+    start = calls.select("call_id", none.alias("up"), F.lit(0).cast("long").alias("far"), F.lit(0).cast("long").alias("least"))
+    steps = saved(start.unionByName(there.withColumn("least", F.lit(0).cast("long"))))
+    before = None
+    while True:
+        at = saved(sums(steps))
+        left = at.filter("open > 0").count()
+        if not left or left == before:
+            return at.select("call_id", F.when(F.col("open") == 0, F.col("least")).alias("level"))
+        before = left
+        info = at.select(F.col("call_id").alias("up"), F.col("open").alias("open2"), F.col("up").alias("up2"), F.col("far").alias("far2"), F.col("least").alias("least2"))
+        on = F.when(F.col("open2") == 1, F.col("up2")).when(F.col("open2") > 1, F.col("up"))
+        moved = steps.filter("up IS NOT NULL").join(info, "up").select(
+            "call_id", on.alias("up"), F.when(F.col("open2") == 1, F.col("far") + F.col("far2")).otherwise(F.col("far")).alias("far"), (F.col("far") + F.col("least2")).alias("least")
         )
-        left, before = pending(), left
-    return at.select("call_id", F.when(F.col("up").isNull(), F.col("level")).alias("level"))
+        # several ways to one call count once, by the longest
+        merged = moved.groupBy("call_id", "up").agg(F.max("far").alias("far"), F.max("least").alias("least"))
+        old = steps
+        steps = saved(at.select("call_id", none.alias("up"), F.lit(0).cast("long").alias("far"), "least").unionByName(merged))
+        release(old, at)
 
 
 def link_tool_calls(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """Every message with its link, topological place, validity and canonical JSON.
 
     ``messages``: conv_id, turn, role, kind ('call', 'result' or other), call_id, after (for calls: the call it
-    waits for), tool, arguments (JSON text, for calls), content. Added: ``linked`` (a call that has a result, a
+    waits for, or an array of them), tool, arguments (JSON text, for calls), content. Added: ``linked`` (a call that has a result, a
     result that has a call; false for others), ``level``, ``place`` (2 x level for calls, one more for their
     results; null for messages that are neither, and on cycles), ``valid`` (for calls), ``json``: one object with sorted
     keys and no nulls, arguments as a canonical JSON object where they parse. Rows are kept as they are: a
@@ -99,7 +137,7 @@ def link_tool_calls(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     member = lambda key, value: F.concat(F.lit(f'"{key}":'), value)
     quoted = lambda c: F.regexp_extract(F.to_json(F.struct(F.col(c).alias("x"))), r"(?s)^\{\"x\":(.*)\}$", 1)
     some = lambda c, value: F.when(F.col(c).isNotNull(), value)
-    json = F.concat(
+    written = F.concat(
         F.lit("{"),
         F.concat_ws(
             ",",
@@ -116,7 +154,7 @@ def link_tool_calls(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
         F.coalesce(F.when(is_call, F.col("answered")).when(is_result, found), F.lit(False)).alias("linked"),
         "level", place.alias("place"),
         F.when(is_call, valid_arguments(F.col("tool"), F.col("arguments"), schemas)).alias("valid"),
-        json.alias("json"),
+        written.alias("json"),
     )
 
 
