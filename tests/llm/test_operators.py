@@ -3,6 +3,7 @@
 import json
 import math
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -341,17 +342,51 @@ def test_common_subsequence():
 
 
 # -- 5, 8 ------------------------------------------------------------------------------------------------------------
+# Notices as their licences give them; a blank line parts paragraphs.
+NOTICES = {
+    "mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
+    "apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\nhttp://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
+    "gpl-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "gpl-2.0-or-later": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "lgpl-2.1-or-later": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "agpl-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "bsd-2-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+}
+NOTICES["bsd-3-clause"] = NOTICES["bsd-2-clause"] + "\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+
+
+def wrapped(text, mark):
+    """The text at 72 columns, each line after a comment mark, with a title before and code behind."""
+    lines = [mark + x for p in ["A title", "Copyright (c) 2020 Somebody", *text.split("\n\n")] for x in [*textwrap.wrap(p, 72), ""]]
+    return "\n".join([*lines, "", "def main():"])
+
+
 def test_licenses(spark, empty):
     texts = ["Abc.\nReleased under the MIT License.", "Licensed under the Apache License, Version 2.0.\nYou may not use this file except in compliance with the License. x", None, "", "All rights reserved! Licensed under CC BY-NC 4.0."]
-    d = spark.createDataFrame([(i, t, "mine") for i, t in enumerate([*texts, texts[0]])], "doc_id bigint, text string, licenses string")
+    texts += ["A title without an end\nReleased under the MIT License.\nnext", "It is not released under the MIT license", "\x01 v. ver. e.g. i.e. v. v. end"]
+    notices = [(name, wrapped(text, mark)) for name, text in NOTICES.items() for mark in ("", "# ", " * ", "// ")]
+    # near misses: a word is missing
+    notices += [(None, wrapped(text.replace(" the ", " ", 1).replace(" this ", " ", 1).replace("you can", "you"), "# ")) for name, text in NOTICES.items() if name in ("gpl-3.0-or-later", "isc", "lgpl-2.1-or-later", "agpl-3.0-or-later")]
+    d = spark.createDataFrame([(i, t, "mine") for i, t in enumerate([*texts, texts[0], *[t for _, t in notices]])], "doc_id bigint, text string, licenses string")
     got = {r["doc_id"]: tuple(r)[1:] for r in licenses.scan_licenses(d).collect()}
-    assert got[0] == got[5] == (2, "1", "mit", "mit")
+    assert got[0] == got[len(texts)] == (2, "1", "mit", "mit")
     assert got[1] == (3, "3,8", "apache-2.0", "apache-2.0")
     assert got[2] == got[3] == (0, "", "", None)
     assert got[4] == (2, "16,5", "cc-by-nc-4.0,all-rights-reserved", "cc-by-nc-4.0")
+    assert got[5] == (2, "1", "mit", "mit") and got[6] == (1, "", "", None)
+    assert [got[len(texts) + 1 + k][2] for k in range(len(notices))] == [name or "" for name, _ in notices]
     assert licenses.scan_licenses(empty).count() == 0
     plan = licenses.scan_licenses(d)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Exchange" not in plan
+    import duckdb
+
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?)", [(r["doc_id"], r["text"]) for r in d.collect()])
+    assert {r[0]: r[1:] for r in db.execute(licenses.oracle()).fetchall()} == got
 
 
 def test_tool_calls(spark):
