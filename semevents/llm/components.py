@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import release, saved
 
 #: Rounds are logarithmic in the longest path; this many are never needed.
 ROUNDS = 60
@@ -16,23 +16,27 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round links every node's larger neighbours to its smallest one, then its smaller ones (large star, small
     star), and is written to the shared folder. It ends when a round changes nothing. Rows of one node are only
-    ever aggregated to a minimum or joined with it, so a node with very many links is no one task's work alone:
-    its rows are pre-aggregated, and the join is one that Spark splits.
+    ever aggregated to a minimum or joined with it. The minima are written by themselves, so that each side of a join is a
+    plain exchange and Spark splits the rows of a node with very many links.
     """
     links = saved(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
+    size = links.count()
     for _ in range(ROUNDS):
+        if not size:
+            break
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = saved(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.join(low, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        links = saved(small.filter("a <> b").distinct())
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
-        if now == before:
+        large = saved(large.filter("a <> b").distinct())
+        least = saved(large.groupBy("a").agg(F.min("b").alias("m")))
+        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        now = saved(small.filter("a <> b").distinct())
+        many = now.count()
+        same = many == size and now.join(links, ["a", "b"], "left_anti").isEmpty()
+        release(links, low, large, least)
+        links, size = now, many
+        if same:
             break
-        before = now
     else:
         raise RuntimeError("components did not settle")
     return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

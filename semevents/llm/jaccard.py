@@ -14,6 +14,7 @@ bounded size, so that links and their numbers are exact for every pair of one gr
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import count
 from math import ceil, comb
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batched, release, saved
+from .common import batched, saved
 from .components import components
 from .tokens import U, mix, shingles, words
 
@@ -38,9 +39,9 @@ DEPTH = 4
 #: How much oftener than at the root a large bucket's split samples a token, to make up for pairs that splits part.
 SPLIT = 1.25
 #: Documents of a group that are compared at a time.
-BLOCK = 400
+BLOCK = 1000
 #: Bits for each text that the filter before the comparison of texts has, and its largest size.
-FILTER_BITS, FILTER_BYTES = 12, 16 << 20
+FILTER_BITS, FILTER_BYTES = 12, 32 << 20
 #: Embedded sets that share less of their tokens than the threshold by this many standard deviations aren't candidates.
 SLACK = 4.5
 _RNG = np.random.Generator(np.random.PCG64(77))
@@ -82,34 +83,35 @@ def _roots(run: int) -> np.ndarray:
 
 
 def _described(docs: DataFrame, id_col: str, text_col: str, run: int, threshold: float) -> DataFrame:
-    """(doc_id, th, key, n, sketch, paths): key names the set (null: no words), th the text."""
+    """(doc_id, th, h1, h2, sketch, paths): two hashes name the set (null: no words), th the text."""
     roots = _roots(run)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, sketches, paths = [], [], [], []
+            keys, more, sketches, paths = [], [], [], []
             for _, _, w in words(batch.column(2)):
                 for a, b in zip(w.begins, w.ends, strict=True):
                     s = shingles(w.hash[a:b], WORDS)
-                    sizes.append(len(s))
                     if not len(s):
                         keys.append(None)
+                        more.append(None)
                         sketches.append(None)
                         paths.append(None)
                         continue
                     m = mix(s)
                     keys.append(int(mix(np.bitwise_xor.reduce(m, keepdims=True) + m.sum(keepdims=True) * U(31)).view(np.int64)[0]))
+                    more.append(int(mix(mix(m + U(7)).sum(keepdims=True)).view(np.int64)[0]))
                     e = embed(s)
                     sketches.append(e.tobytes())
                     paths.append(np.unique(_children(roots, np.broadcast_to(e, (len(roots), WIDTH)), threshold)[1]).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), pa.array(paths, pa.list_(pa.int64()))],
-                names=["doc_id", "th", "key", "n", "sketch", "paths"],
+                [batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(more, pa.int64()), pa.array(sketches, pa.binary()), pa.array(paths, pa.list_(pa.int64()))],
+                names=["doc_id", "th", "h1", "h2", "sketch", "paths"],
             )
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(
-        describe, "doc_id long, th long, key long, n int, sketch binary, paths array<long>"
+        describe, "doc_id long, th long, h1 long, h2 long, sketch binary, paths array<long>"
     )
 
 
@@ -175,7 +177,8 @@ def _groups(sets: DataFrame, threshold: float, small: int, depth: int) -> DataFr
     sketches = sets.select("key", "sketch")
     edges = None
     for level in range(depth):
-        sizes = rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
+        # written by itself, so that the join has a plain exchange on each side and a heavy node's rows can be split
+        sizes = saved(rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1"))
         full = saved(rows.join(sizes.hint("merge"), "node").join(sketches.hint("merge"), "key").select("node", "key", "size", "sketch"))
         last = level == depth - 1
         now = full if last else full.filter(F.col("size") <= small)
@@ -239,27 +242,28 @@ def _verified(table: pa.Table, threshold: float) -> pa.Table:
 def _likely(bodies: DataFrame, members: DataFrame) -> DataFrame:
     """The rows of ``bodies`` whose ``_th`` may be among the members' texts, so that few texts are shuffled.
 
-    A Bloom filter of FILTER_BITS bits for each member, sent to the workers if that is no more than FILTER_BYTES. Beyond
-    it all rows are passed on; the join that follows is exact in both cases.
+    A Bloom filter of FILTER_BITS bits for each member, sent to the workers, but of no more than FILTER_BYTES: the more
+    members there are beyond that, the more other texts pass too. The join that follows is exact however many do.
     """
     n = members.count()
-    size = max(8, ceil(n * FILTER_BITS / (8 << 8))) * 8
-    if size << 8 > FILTER_BYTES * 8:
-        return bodies
+    size = min(max(8, ceil(n * FILTER_BITS / (8 << 8))), FILTER_BYTES >> 8) * 8
 
-    def bits(table: pa.Table) -> pa.Table:
-        h = mix(table["th"].to_numpy().view(np.uint64))
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(size, dtype=bool)
-        for j in range(3):
-            out[_spot(h, j, size)] = True
-        return pa.table({"seg": table["seg"].slice(0, 1).cast(pa.int32()), "bits": pa.array([np.packbits(out).tobytes()], pa.binary())})
+        seg = None
+        for batch in batches:
+            seg = batch.column(1)[0].as_py()
+            h = mix(batch.column(0).to_numpy().view(np.uint64))
+            for j in range(3):
+                out[_spot(h, j, size)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([seg], pa.int32()), pa.array([np.packbits(out).tobytes()], pa.binary())], ["seg", "bits"])
 
     th = members.select(F.col("where.th").alias("th"))
     by_segment = th.withColumn("seg", F.pmod("th", F.lit(256)).cast("int")).groupBy("seg").applyInArrow(bits, "seg int, bits binary")
-    whole = np.zeros((256, size), dtype=bool)
-    for row in by_segment.collect():  # FILTER_BYTES at most
-        whole[row["seg"]] = np.unpackbits(np.frombuffer(row["bits"], dtype=np.uint8))[:size]
-    shared = bodies.sparkSession.sparkContext.broadcast(np.packbits(whole.reshape(-1)))
+    whole = np.zeros((256, size // 8), dtype=np.uint8)
+    for row in by_segment.toLocalIterator():  # FILTER_BYTES at most
+        whole[row["seg"]] = np.frombuffer(row["bits"], dtype=np.uint8)
+    shared = bodies.sparkSession.sparkContext.broadcast(whole.reshape(-1))
 
     @F.pandas_udf("boolean")
     def may_be(th: pd.Series) -> pd.Series:
@@ -279,20 +283,20 @@ def _spot(h: np.ndarray, j: int, size: int) -> np.ndarray:
 
 
 def _resolved(docs: DataFrame, id_col: str, text_col: str, threshold: float, recall: float, small: int, depth: int, block: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, th, key) of every row, and for every key its class_id, n_links, where a text of it is, and whether it
-    stands for its class."""
+    """(doc_id, th, h1, h2) of every row, and for every set (h1, h2) its class_id, n_links, where a text of it is, and
+    whether it stands for its class."""
     described = saved(_described(batched(docs), id_col, text_col, runs(threshold, recall, depth), threshold))
-    worded = described.filter("key IS NOT NULL")
-    # one row per set: how many copies, the smallest id, and where to find a text of it
+    worded = described.filter("h1 IS NOT NULL")
+    # one row per set: a number of its own, how many copies, the smallest id, and where to find a text of it
     sets = saved(
-        worded.groupBy("key").agg(
+        worded.groupBy("h1", "h2").agg(
             F.count("*").alias("copies"), F.min("doc_id").alias("first"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("where"),
             F.first("sketch").alias("sketch"), F.first("paths").alias("paths"),
-        )
+        ).withColumn("key", F.monotonically_increasing_id())
     )
     group = components(_groups(sets, threshold, small, depth)).select(F.col("node").alias("key"), F.col("root").alias("grp"))
     members = saved(group.join(sets.select("key", "copies", "where"), "key"))
-    sized = members.join(members.groupBy("grp").agg(F.count("*").alias("size")), "grp")
+    sized = members.join(saved(members.groupBy("grp").agg(F.count("*").alias("size"))), "grp")
     text = F.coalesce(F.col(text_col), F.lit(""))
     wanted = sized.select("grp", "key", "copies", "size", F.col("where.doc_id").alias("d"), F.col("where.th").alias("th"))
     bodies = _likely(docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_th"), text.alias("text")), members)
@@ -301,10 +305,10 @@ def _resolved(docs: DataFrame, id_col: str, text_col: str, threshold: float, rec
     checked = saved(dealt.groupBy("grp", "lo", "hi").applyInArrow(lambda t: _verified(t, threshold), "a long, b long, links long"))
     links = checked.groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
     root = components(checked.filter("a <> b").select("a", "b")).select(F.col("node").alias("key"), "root")
-    named = sets.select("key", "copies", "first", "where").join(root, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    named = sets.select("key", "h1", "h2", "copies", "first", "where").join(root, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = named.groupBy("root").agg(F.min("first").alias("class_id"), F.min_by("key", "where").alias("stands"))
     info = named.join(least, "root").join(links, "key", "left").select(
-        "key", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "where", (F.col("key") == F.col("stands")).alias("stands")
+        "h1", "h2", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "where", (F.col("key") == F.col("stands")).alias("stands")
     )
     return described, info
 
@@ -319,8 +323,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest id that isn't null, null if there is none. Other columns are ignored; an empty table gives none.
     """
     described, info = _resolved(docs, id_col, text_col, threshold, recall, small, depth, block)
-    with_words = described.filter("key IS NOT NULL").select("doc_id", "key").join(info, "key").select("doc_id", "class_id", "n_links")
-    without = described.filter("key IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    with_words = described.filter("h1 IS NOT NULL").select("doc_id", "h1", "h2").join(info, ["h1", "h2"]).select("doc_id", "class_id", "n_links")
+    without = described.filter("h1 IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return with_words.unionByName(without).withColumnRenamed("doc_id", id_col)
 
 
@@ -330,8 +334,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Of repeated rows one stays. Rows without words all stay. Columns stay as they are.
     """
     _, info = _resolved(docs, id_col, text_col, threshold, recall, small, depth, block)
-    stays = info.filter("stands").select(F.col("where.doc_id").alias("_d"), F.col("where.th").alias("_th"))
-    marked = docs.withColumn("_d", F.col(id_col).cast("long")).withColumn("_th", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    key = [f"_{uuid.uuid4().hex}_{i}" for i in range(3)]  # names that no column of the input has
+    named = lambda d, th: [F.coalesce(d, F.lit(0)).alias(key[0]), d.isNull().alias(key[1]), th.alias(key[2])]
+    stays = info.filter("stands").select(*named(F.col("where.doc_id"), F.col("where.th")))
     worded = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    kept = marked.filter(worded).join(stays.withColumnsRenamed({"_d": "_d2", "_th": "_th2"}), F.col("_d").eqNullSafe(F.col("_d2")) & (F.col("_th") == F.col("_th2")), "left_semi")
-    return kept.dropDuplicates(["_d", "_th"]).unionByName(marked.filter(~worded)).select(*docs.columns)
+    marked = docs.filter(worded).select("*", *named(F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))))
+    # plain equality of all three, so that the copies of a row are dropped where the join has put them
+    kept = marked.hint("merge").join(stays, key, "left_semi").dropDuplicates(key)
+    return kept.drop(*key).unionByName(docs.filter(~worded))

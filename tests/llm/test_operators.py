@@ -138,6 +138,18 @@ def test_jaccard_is_brute_force(docs, rows, small, block):
     assert sorted(got, key=str) == brute_classes(rows)
 
 
+def test_jaccard_keeps_clashing_columns(docs):
+    odd = docs.select("doc_id", "text", F.col("doc_id").alias("_d"), F.lit("t").alias("_th"), F.lit(1).alias("key"))
+    kept = jaccard.drop_near_duplicates(odd)
+    assert kept.columns == odd.columns
+    assert all((r["_d"], r["_th"], r["key"]) == (r["doc_id"], "t", 1) for r in kept.collect())
+
+
+def test_jaccard_with_a_full_filter(docs, rows, monkeypatch):
+    monkeypatch.setattr(jaccard, "FILTER_BYTES", 256)
+    assert sorted((tuple(r) for r in jaccard.near_duplicates(docs).collect()), key=str) == brute_classes(rows)
+
+
 def test_jaccard_keeps_one_of_each(docs, rows, empty):
     kept = jaccard.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
@@ -302,6 +314,35 @@ def test_leaks_and_paraphrases(leaky):
     assert got == truth
 
 
+def test_leaks_are_brute_force(leaky, monkeypatch):
+    """Every window against every item without the latent space: the same leaks at the same best places."""
+    docs, benchmark, _ = leaky
+    bare = lambda t: re.findall(r"[a-z0-9]+", (t or "").translate(ASCII))
+    items = [(r["item_id"], bare(r["text"])) for r in benchmark.collect() if r["text"]]
+    n = decontaminate.PASSAGE
+    want = {}
+    for r in docs.collect():
+        text = bare(r["text"])
+        for i, item in items:
+            places = {p * n - a for p in range(-(-len(text) // n)) for a in decontaminate._cuts(len(item))}
+            best = None
+            names = {t: k for k, t in enumerate(dict.fromkeys(item))}
+            own = decontaminate.Item(i, np.array([names[t] for t in item]), np.array([names[t] for t in item[-8:]]))
+            for at in places:
+                around = [names[t] for t in text[max(0, at - n // 2) : at + 2 * n + len(item)] if t in names]
+                lcs = decontaminate.common_subsequence(own.masks, len(item), around) / len(item)
+                answer = decontaminate.common_subsequence(own.answer_masks, len(own.answer), around) / len(own.answer)
+                if lcs >= decontaminate.CLOSE or lcs >= decontaminate.LOOSE and answer >= decontaminate.ANSWER:
+                    best = max(best or 0, lcs)
+            if best:
+                want[r["doc_id"], i] = best
+    found = decontaminate.find_leaks(docs, benchmark).collect()
+    assert {(r["doc_id"], r["item_id"]): r["lcs"] for r in found} == want
+    monkeypatch.setattr(decontaminate, "ITEMS", 7)  # in turns: the very same
+    plain = lambda rs: sorted(str((r["doc_id"], r["item_id"], r["lcs"], r["answer"])) for r in rs)
+    assert plain(decontaminate.find_leaks(docs, benchmark).collect()) == plain(found)
+
+
 def test_leaks_spread_over_the_whole_item(spark):
     rng = np.random.default_rng(12)
     word = lambda n: ["".join(x) for x in rng.choice(list("abcdefgh"), (n, 8))]
@@ -476,6 +517,23 @@ def test_forward_sums_all_segmentations(model):
     assert np.isfinite(grid.log_probability(["門" * n for n in (29, 30, 31, 200)], least)).all()
 
 
+def test_expected_uses_of_long_words(model, monkeypatch):
+    grid = language.Grid.of(model)
+    p = np.random.default_rng(5).random((grid.size, 2)) + 0.01
+    some, lang, n = ["the", "thhaing" * 4, "门𐐀x", "eaux" * 7], np.array([0, 1, 0, 1]), np.array([1.0, 2, 3, 4])
+    whole = grid.expected(some, lang, n, p)
+    monkeypatch.setattr(language, "LONG", 3)
+    assert grid.expected(some, lang, n, p) == pytest.approx(whole)
+
+
+def test_language_of_a_script_without_spaces(spark, model):
+    rng = np.random.default_rng(2)
+    write = lambda letters, n: "".join(rng.choice(list(letters), n))
+    made = [(i, write("天地玄黃宇宙洪荒", 80), "zh") for i in range(40)] + [(100 + i, write("あいうえおかきく", 80), "ja") for i in range(40)]
+    out = language.classify(spark.createDataFrame(made, "doc_id bigint, text string, lang string"), model).collect()
+    assert all(r["lang_pred"] == ("zh" if r["doc_id"] < 100 else "ja") for r in out)
+
+
 def test_language(spark, model):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
