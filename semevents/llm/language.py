@@ -120,7 +120,15 @@ class Grid:
         return np.log(ring[n % far]) + scale
 
     def expected(self, words: list[str], lang: np.ndarray, count: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece by language, over words of LONG letters at most: forward times backward."""
+        """Expected uses of each piece by language: forward times backward sums."""
+        long = [i for i, x in enumerate(words) if len(x) > LONG]
+        if long:
+            short = [i for i, x in enumerate(words) if len(x) <= LONG]
+            out = self.expected([words[i] for i in short], lang[short], count[short], p) if short else np.zeros(p.shape)
+            for i in long:
+                piece, use = self._expected_long(words[i], p[:, lang[i]])
+                out[:, lang[i]] += np.bincount(piece, weights=use * count[i], minlength=len(out))
+            return out
         w, start, end, piece, sizes = self.matches(words)
         prob = p[piece, lang[w]]
         top = int(sizes.max()) + 1
@@ -140,6 +148,25 @@ class Grid:
         return np.bincount(piece * p.shape[1] + lang[w], weights=use, minlength=p.size).reshape(p.shape)
 
 
+    def _expected_long(self, word: str, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces wherever they stand in one word of any length, and how often each is used there: sums of logarithms."""
+        _, start, end, piece, sizes = self.matches([word])
+        n, log = int(sizes[0]), np.log(p[piece])
+        alpha, beta = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+        alpha[0] = beta[n] = 0
+        cuts = np.searchsorted(end, np.arange(n + 2))
+        for k in range(1, n + 1):
+            s = slice(cuts[k], cuts[k + 1])
+            alpha[k] = np.logaddexp.reduce(alpha[start[s]] + log[s])
+        order = np.argsort(start, kind="stable")
+        cuts = np.searchsorted(start[order], np.arange(n + 2))
+        for k in range(n - 1, -1, -1):
+            s = order[cuts[k] : cuts[k + 1]]
+            if len(s):
+                beta[k] = np.logaddexp.reduce(beta[end[s]] + log[s])
+        return piece, np.exp(alpha[start] + log + beta[end] - alpha[n])
+
+
 def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
@@ -160,7 +187,7 @@ def train(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             c: Counter = Counter()
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                c.update((lang, w) for w in words_of(text) if len(w) <= LONG)
+                c.update((lang, w) for w in words_of(text))
             keys = list(c)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([c[k] for k in keys], pa.int64())], ["lang", "word", "n"])
 
