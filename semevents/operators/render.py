@@ -7,14 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import close_tag, escape_text, is_block, joined_in_order, open_tag
 from ..model import by_document
+from .documents import passed
 
 
-def fragments(events: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``events`` with ``frag``: what each event adds to the pretty HTML. It depends on earlier events only.
-
-    Level, open ``pre`` elements, open namespaced elements and whether a line has just begun are running aggregates
-    over one window, so a document is sorted once.
-    """
+def _layout(events: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Level, open ``pre`` elements, open namespaced elements and whether a line has just begun: running aggregates over
+    one window, so a document is sorted once."""
     w = by_document(keys)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
@@ -34,7 +32,56 @@ def fragments(events: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFra
         .when(mark, block)
         .when(block, F.lit(True))
     )
-    out = out.withColumn("_sets", sets).withColumn("_fresh", F.coalesce(F.last("_sets", True).over(before), F.lit(True)))
+    return out.withColumn("_sets", sets).withColumn("_fresh", F.coalesce(F.last("_sets", True).over(before), F.lit(True))).drop("_sets")
+
+
+class _Layout:
+    """The same for a stream, in one pass: ``block`` tells block elements, ``ends`` texts that end a line."""
+
+    def __init__(self):
+        self.level, self.pre, self.raw, self.fresh = 0, 0, 0, True
+
+    def step(self, kind: str, name: str | None, block: bool, ends: bool, empty: bool) -> tuple[int, int, int, int]:
+        pre, raw = int(name == "pre"), int(":" in (name or ""))
+        if kind == "unmark":
+            self.level, self.pre, self.raw = self.level - 1, self.pre - pre, self.raw - raw
+        out = self.level, self.pre, self.raw, int(self.fresh)
+        if kind == "text":
+            self.fresh = self.fresh if empty else bool(self.pre <= 0 and self.raw <= 0 and ends)
+        elif kind == "mark":
+            self.fresh = bool(block and self.pre == 0)
+            self.level, self.pre, self.raw = self.level + 1, self.pre + pre, self.raw + raw
+        elif block and self.pre == 0:
+            self.fresh = True
+        return out
+
+    def state(self) -> dict:
+        return vars(self)
+
+    def restore(self, state: dict) -> None:
+        vars(self).update(state)
+
+
+def _layout_of_stream(events: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    marks = events.select(
+        "*", F.coalesce(is_block(F.col("name")), F.lit(False)).alias("_block"),
+        F.coalesce(F.endswith("text", F.lit("\n")), F.lit(False)).alias("_ends"), F.coalesce(F.col("text") == "", F.lit(False)).alias("_empty"),
+    )
+    out = passed(marks, keys, _Layout, ("type", "name", "_block", "_ends", "_empty"), "_level int, _pre int, _raw int, _fresh int")
+    return out.withColumn("_fresh", F.col("_fresh") == 1).drop("_block", "_ends", "_empty")
+
+
+def fragments(events: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``events`` with ``frag``: what each event adds to the pretty HTML. It depends on earlier events only.
+
+    ``events`` may be a stream whose events of a document come in order; joined in that order, the fragments are the
+    document's HTML, but for a newline at its end.
+    """
+    mark, unmark, text = (F.col("type") == k for k in ("mark", "unmark", "text"))
+    name = F.coalesce("name", F.lit(""))
+    out = _layout_of_stream(events, keys) if events.isStreaming else _layout(events, keys)
+    block = is_block(name) & (F.col("_pre") == 0)
+    plain = (F.col("_pre") <= 0) & (F.col("_raw") <= 0)
     indent = F.repeat(F.lit("  "), F.greatest(F.col("_level"), F.lit(0)).cast("int"))
     fresh = F.col("_fresh")
     own_line = lambda tag: F.concat(F.when(fresh, "").otherwise("\n"), indent, tag, F.lit("\n"))
@@ -50,7 +97,7 @@ def fragments(events: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFra
         .when(block, own_line(closing))
         .otherwise(closing)
     )
-    return out.withColumn("frag", frag).drop("_level", "_pre", "_raw", "_sets", "_fresh")
+    return out.withColumn("frag", frag).drop("_level", "_pre", "_raw", "_fresh")
 
 
 def _with_all(out: DataFrame, keys: tuple[str, ...], documents: DataFrame | None) -> DataFrame:

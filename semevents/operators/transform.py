@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..model import by_document, with_depth
+from .documents import passed
 
 _OUT = "struct<type:string,name:string,attributes:map<string,string>,text:string>"
-MAX_DEPTH = 256
 
 
 def _out(kind: str, name: str | None = None, attributes: dict[str, str] | None = None, text: Column | str | None = None) -> Column:
@@ -69,48 +68,60 @@ class Transformer:
         return self
 
 
+class _Rules:
+    """One document's pass: the open marks' rules and modes, and where the output is."""
+
+    def __init__(self, shapes: list[tuple[str | None, str | None, int, int]]):
+        self.shapes = shapes
+        self.open: list[list] = []
+        self.seq = 0
+
+    def step(self, kind: str, fits: list[int] | None, kept: bool) -> tuple[int | None, int]:
+        rule, at = None, self.seq
+        if kind == "text":
+            self.seq += bool(kept)
+        elif kind == "mark":
+            mode = self.open[-1][1] if self.open else None
+            rule = next((i for i in fits or () if self.shapes[i][0] in (None, mode)), None)
+            self.open.append([rule, mode if rule is None else self.shapes[rule][1]])
+            self.seq += 0 if rule is None else self.shapes[rule][2]
+        elif self.open:
+            rule = self.open.pop()[0]
+            self.seq += 0 if rule is None else self.shapes[rule][3]
+        return rule, at
+
+    def state(self) -> dict:
+        return {"open": self.open, "seq": self.seq}
+
+    def restore(self, state: dict) -> None:
+        self.open, self.seq = state["open"], state["seq"]
+
+
 def transform(events: DataFrame, transformer: Transformer, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Events rewritten by rules. A mark without a rule goes with its unmark, its children stay in their mode.
+    """Events rewritten by rules; ``events`` may be a stream (whose events of a document come in order).
 
-    Modes go from parents to children, so depths are decided one after the other, all over the same window: one
-    shuffle, one sort. Output is not from tags; an unmark takes the rule of the mark that it closes.
+    A mark without a rule goes with its unmark, its children stay in their mode. Output is not from tags; an unmark takes
+    the rule of the mark that it closes, unmarks without a mark go. Catalyst decides which rules' conditions fit and writes the
+    output; in between one pass in order keeps the open marks' rules and modes, however deep they nest.
     """
-    w = by_document(keys)
-    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
-    out = with_depth(events, keys).withColumn("_mode", F.lit(None).cast("string")).withColumn("_rule", F.lit(None).cast("int"))
-    deepest = out.filter("type = 'mark'").agg(F.max("depth")).first()[0]
-    if deepest is not None and deepest > MAX_DEPTH:
-        raise ValueError(f"documents nest deeper than {MAX_DEPTH}")
-    for d in range(0 if deepest is None else deepest + 1):
-        rule = F.lit(None).cast("int")
-        for i, (condition, mode, _) in reversed(list(enumerate(transformer.rules))):
-            fits = F.coalesce(condition, F.lit(False))
-            if mode is not None:
-                fits = fits & F.coalesce(F.col("_mode") == mode, F.lit(False))
-            rule = F.when(fits, i).otherwise(rule)
-        here = (F.col("type") == "mark") & (F.col("depth") == d)
-        child = F.col("_mode")
-        for i, (_, _, body) in enumerate(transformer.rules):
-            child = F.when(F.col("_own") == i, F.lit(body.child_mode)).otherwise(child)
-        out = out.withColumn("_own", F.when(here, rule)).withColumn("_set", F.when(here, F.struct(F.col("_own").alias("rule"), child.alias("child"))))
-        out = out.withColumn("_above", F.last("_set", True).over(before)).withColumn(
-            "_rule", F.when(here, F.col("_own")).when((F.col("type") == "unmark") & (F.col("depth") == d), F.col("_above.rule")).otherwise(F.col("_rule"))
-        ).withColumn("_mode", F.when(F.col("depth") > d, F.col("_above.child")).otherwise(F.col("_mode")))
+    rules = transformer.rules
+    fits = F.filter(F.array(*[F.when(condition, F.lit(i)) for i, (condition, _, _) in enumerate(rules)]).cast("array<int>"), lambda i: i.isNotNull())
+    text = transformer.text_rule(F.col("text")) if transformer.text_rule else F.col("text")
+    is_mark, is_text = F.col("type") == "mark", F.col("type") == "text"
+    known = events.select(
+        *keys, "seq", "type", "name", "is_tag", "attributes", F.when(is_text, text).alias("text"),
+        F.when(is_mark, fits).alias("_fits"), F.coalesce(is_text & text.isNotNull(), F.lit(False)).alias("_kept"),
+    )
+    shapes = [(mode, body.child_mode, len(body.before), len(body.after)) for _, mode, body in rules]
+    out = passed(known, keys, lambda: _Rules(shapes), ("type", "_fits", "_kept"), "_rule int, _at int")
     empty = F.array().cast(f"array<{_OUT}>")
-    written = F.when(F.col("type") == "text", _texts(transformer)).otherwise(empty)
-    for i, (_, _, body) in enumerate(transformer.rules):
-        if body.before:
-            written = F.when((F.col("type") == "mark") & (F.col("_rule") == i), F.array(*body.before)).otherwise(written)
-        if body.after:
-            written = F.when((F.col("type") == "unmark") & (F.col("_rule") == i), F.array(*body.after)).otherwise(written)
-    spread = out.select(*keys, "seq", F.posexplode(written).alias("k", "e"))
-    order = Window.partitionBy(*keys).orderBy("seq", "k")
+    written = F.when(F.col("_kept"), F.array(_out("text", text=F.col("text")))).otherwise(empty)
+    for i, (_, _, body) in enumerate(rules):
+        for kind, items in (("mark", body.before), ("unmark", body.after)):
+            if items:
+                written = F.when((F.col("type") == kind) & (F.col("_rule") == i), F.array(*items)).otherwise(written)
+    spread = out.select(*keys, "_at", F.posexplode(written).alias("k", "e"))
     return spread.select(
-        *keys, (F.row_number().over(order) - 1).cast("int").alias("seq"), F.col("e.type").alias("type"), F.col("e.name").alias("name"),
+        *keys, (F.col("_at") + F.col("k")).cast("int").alias("seq"), F.col("e.type").alias("type"), F.col("e.name").alias("name"),
         F.when(F.col("e.type") != "text", F.lit(False)).alias("is_tag"), F.col("e.attributes").alias("attributes"), F.col("e.text").alias("text"),
     )
-
-
-def _texts(transformer: Transformer) -> Column:
-    body = transformer.text_rule(F.col("text")) if transformer.text_rule else F.col("text")
-    return F.filter(F.array(_out("text", text=body)), lambda e: e["text"].isNotNull())

@@ -50,7 +50,7 @@ class Inline:
     def flush(self) -> None:
         self.settle()
         for name in CLOSING:
-            if name in self.open:
+            while name in self.open:
                 self._toggle(name)
 
     def _toggle(self, name: str) -> None:
@@ -65,43 +65,51 @@ class Inline:
         if text:
             self.emit(text_event(text))
 
+    def _open(self, name: str) -> None:
+        self.open.append(name)
+        self.emit(mark_event(name))
+
     def _run(self, last: bool) -> None:
-        while self.tail:
-            used = self._raw(self.tail) if self.raw else self._token(self.tail, last)
+        """Tokens one after the other; what is used up is cut off once, so that the work is linear in the text."""
+        s, at = self.tail, 0
+        while at < len(s):
+            used = self._raw(s, at) if self.raw else self._token(s, at, last)
             if not used:
-                return
-            self.tail = self.tail[used:]
+                break
+            at += used
+        self.tail = s[at:]
 
-    def _raw(self, s: str) -> int:
-        end = s.find(self.raw)
+    def _raw(self, s: str, at: int) -> int:
+        end = s.find(self.raw, at)
         if end < 0:
             if self.raw == "``":
                 return 0
-            self._text(s)
-            return len(s)
-        body = s[:end]
+            self._text(s[at:])
+            return len(s) - at
+        body = s[at:end]
         if self.raw == "``" and len(body) > 1 and body[0] == body[-1] == " ":
             body = body[1:-1]
         self._text(body)
         self._toggle("math" if self.raw == "$" else "code")
-        used, self.raw = end + len(self.raw), ""
+        used, self.raw = end + len(self.raw) - at, ""
         return used
 
-    def _token(self, s: str, last: bool) -> int:
-        c = s[0]
+    def _token(self, s: str, at: int, last: bool) -> int:
+        """Characters that the token at ``at`` takes; 0 if more must be seen first."""
+        c = s[at]
+        follows = s[at + 1 : at + 2]
         if c in "*_~=":
-            return self._delimiters(s, last)
+            return self._delimiters(s, at, last)
         if c == "\\":
-            if len(s) > 1:
-                self._text(s[1])
-            return 2 if len(s) > 1 else int(last)
+            self._text(follows)
+            return 2 if follows else int(last)
         if c == "`":
-            if len(s) == 1 and not last:
+            if not follows and not last:
                 return 0
-            if len(s) == 1:
+            if not follows:
                 self._text(c)
                 return 1
-            self.raw = "``" if s[1] == "`" else "`"
+            self.raw = "``" if follows == "`" else "`"
             self._toggle("code")
             return len(self.raw)
         if c == "$":
@@ -112,79 +120,84 @@ class Inline:
             self._toggle("sup")
             return 1
         if c == "<":
-            return self._autolink(s, last)
-        if c == "[" or c == "!" and s[1:2] == "[":
-            return self._link(s, last, c == "!")
+            return self._autolink(s, at, last)
+        if c == "[" or c == "!" and follows == "[":
+            return self._link(s, at, last, c == "!")
         if c == "!":
-            if len(s) == 1 and not last:
+            if not follows and not last:
                 return 0
             self._text(c)
             return 1
-        m = PLAIN.match(s)
+        m = PLAIN.match(s, at)
         self._text(m[0])
-        return m.end()
+        return m.end() - at
 
-    def _delimiters(self, s: str, last: bool) -> int:
-        run = RUN.match(s)[0]
+    def _delimiters(self, s: str, at: int, last: bool) -> int:
+        run = RUN.match(s, at)[0]
         n = len(run)
-        if n == len(s) and not last:
+        after = s[at + n : at + n + 1]
+        if not after and not last:
             return 0
-        after = s[n : n + 1]
         names = TOGGLES.get(run)
+        escaped = after == "\\" or run[0] != "*" and after and after in "`*"
         if run in ("***", "___"):
             both = [x for x in ("em", "strong") if x in self.open]
             if not after and not both:
                 names = None
-            elif len(both) == 1 and run == "***":
-                names = [both[0], "strong" if both[0] == "em" else "em"]  # the open one closes, the other opens
             elif len(both) == 2:
                 names = ["em", "strong"]
+            elif run == "___":
+                if not escaped:  # opens both, even if one is open
+                    self._open("strong")
+                    self._open("em")
+                    return n
+            elif both:
+                names = [both[0], "strong" if both[0] == "em" else "em"]  # the open one closes, the other opens
             else:
-                names = [x for x in ("strong", "em") if x not in self.open]
+                names = ["strong", "em"]
         elif not after and names and names[0] not in self.open:
             names = None  # nothing follows that it could open
-        if after == "\\" or run[0] != "*" and after and after in "`*":
-            names = None
-        if names is None:
+        if names is None or escaped:
             self._text(run)
         else:
             for name in names:
                 self._toggle(name)
         return n
 
-    def _autolink(self, s: str, last: bool) -> int:
-        end = s.find(">")
+    def _autolink(self, s: str, at: int, last: bool) -> int:
+        end = s.find(">", at)
         if end < 0:
             if last:
-                self._text(s)
-                return len(s)
+                self._text(s[at:])
+                return len(s) - at
             return 0
-        body = s[1:end]
+        body = s[at + 1 : end]
         if "://" in body or "@" in body:
             self.emit(mark_event("a", attributes={"href": body if "://" in body else f"mailto:{body}"}))
             self._text(body)
             self.emit(unmark_event("a"))
         else:
             self._text(f"<{body}>")
-        return end + 1
+        return end + 1 - at
 
-    def _link(self, s: str, last: bool, image: bool) -> int:
-        begin = 2 if image else 1
+    def _link(self, s: str, at: int, last: bool, image: bool) -> int:
+        begin = at + (2 if image else 1)
         close = s.find("]", begin)
-        end = s.find(")", close + 2) if close >= 0 and s[close + 1 : close + 2] == "(" else -1
-        if close >= 0 and s[close + 1 : close + 2] not in ("(", ""):
-            self._text(s[: close + 1])
-            return close + 1
+        follows = s[close + 1 : close + 2] if close >= 0 else ""
+        end = s.find(")", close + 2) if follows == "(" else -1
+        if close >= 0 and follows not in ("(", ""):
+            self._text(s[at : close + 1])
+            return close + 1 - at
         if end < 0:
             if not last:
                 return 0
-            self._text(s)
-            return len(s)
+            self._text(s[at:])
+            return len(s) - at
         label, target = s[begin:close], s[close + 2 : end].strip()
         if image:
             self.emit(mark_event("img", attributes={"src": target, "alt": label}))
             self.emit(unmark_event("img"))
-            return end + 1
+            return end + 1 - at
         url, quote, title = target.partition(' "')
         attributes = {"href": url.strip()}
         if quote and title.removesuffix('"').strip():
@@ -192,7 +205,7 @@ class Inline:
         self.emit(mark_event("a", attributes=attributes))
         self._text(label)
         self.emit(unmark_event("a"))
-        return end + 1
+        return end + 1 - at
 
 
 def attributes_of(source: str) -> dict[str, str] | None:
@@ -269,31 +282,32 @@ class MarkdownKernel:
     # -- lines ---------------------------------------------------------------------------------------------------
 
     def _advance(self, eof: bool) -> None:
-        while self.pending or eof:
+        """Lines, or what is there of them; what is used up is cut off once, so that the work is linear in the text."""
+        s, at = self.pending, 0
+        while at < len(s):
             if self.mode == "custom":
-                if not self._custom(eof):
-                    return
+                used = self._custom(s, at, eof)
+                at += abs(used)
+                if used <= 0:
+                    break
                 continue
+            end = s.find("\n", at)
             if self.inside:
-                text, newline, rest = self.pending.partition("\n")
+                text = s[at : end if end >= 0 else len(s)]
                 if text:
                     self.inline.feed(text)
-                self.pending = rest
-                if newline or eof:
+                if end >= 0 or eof:
                     self._line_ends()
-                if not newline:
-                    return
+                at = end + 1 if end >= 0 else len(s)
                 continue
-            line, newline, rest = self.pending.partition("\n")
-            if eof and not self.pending:
-                return
-            used = getattr(self, f"_in_{self.mode}")(line, bool(newline) or eof, bool(newline))
+            line = s[at : end if end >= 0 else len(s)]
+            used = getattr(self, f"_in_{self.mode}")(line, end >= 0 or eof, end >= 0)
             if used is None:
-                return
-            if used > len(line):
-                self.pending = rest
-            else:
-                self.pending = self.pending[used:]
+                break
+            at += used
+        self.pending = s[at:]
+        if eof and self.inside:  # the text ended within a line, before it
+            self._line_ends()
 
     def _stream(self, inside: str, used: int, line: str, split: bool = False) -> int:
         """The rest of the line belongs to ``inside``. ``split``: its first character is an event of its own."""
@@ -527,27 +541,31 @@ class MarkdownKernel:
             self.mode, self.tag, self.joined = "custom", name, False
         return tag.end()
 
-    def _custom(self, eof: bool) -> bool:
-        """Raw text up to the close tag; the newlines next to the tags are not part of it."""
-        if not self.joined and self.pending:
-            self.pending = self.pending.removeprefix("\n")
+    def _custom(self, s: str, at: int, eof: bool) -> int:
+        """Raw text up to the close tag; the newlines next to the tags are not part of it.
+
+        Characters that are used up; as a negative number (or 0) if the close tag isn't there yet.
+        """
+        begin = at
+        if not self.joined:
+            begin += s.startswith("\n", at)
             self.joined = True
         close = f"</{self.tag}>"
-        end = self.pending.find(close)
+        end = s.find(close, begin)
         if end >= 0:
-            body = self.pending[:end].removesuffix("\n")
+            body = s[begin:end].removesuffix("\n")
             if body:
                 self._emit(text_event(body))
             self._emit(unmark_event(self.tag, True))
-            self.pending = self.pending[end + len(close) :]
             self.mode = "start"
-            return True
-        hold = "" if eof else next((s[:n] for s in ("\n" + close, close) for n in range(len(s) - 1, 0, -1) if self.pending.endswith(s[:n])), "")
-        body = self.pending[: len(self.pending) - len(hold)]
+            return end + len(close) - at
+        hold = 0
+        if not eof:
+            hold = next((n for x in ("\n" + close, close) for n in range(min(len(x) - 1, len(s) - begin), 0, -1) if s.endswith(x[:n])), 0)
+        body = s[begin : len(s) - hold]
         if body:
             self._emit(text_event(body))
-        self.pending = hold
-        return False
+        return -(len(s) - hold - at)
 
     def _close(self) -> None:
         if self.mode == "quote":
