@@ -30,21 +30,29 @@ def to_json_lines(events: DataFrame, keys: tuple[str, ...] = ("doc_id",), docume
     return documents.select(*keys).distinct().join(out, list(keys), "left").withColumn("jsonl", F.coalesce("jsonl", F.lit("")))
 
 
-def from_json(lines: DataFrame, keys: tuple[str, ...] = ("doc_id",), json_col: str = "json") -> DataFrame:
-    """Events from one JSON text each. Malformed JSON, an unknown type or key, or a missing field is an error."""
-    source = F.col(json_col)
-    fields = F.from_json(source, _READ)
+def _wrong(source: Column) -> Column:
+    """What is wrong with an event's JSON, or null."""
     given = F.json_object_keys(source)
     kind = F.get_json_object(source, "$.type")
     allowed = F.when(kind == "text", F.array(*map(F.lit, _ALLOWED["text"]))).when(kind == "mark", F.array(*map(F.lit, _ALLOWED["mark"]))).otherwise(F.array(*map(F.lit, _ALLOWED["unmark"])))
     needed = F.when(kind == "text", F.get_json_object(source, "$.text")).otherwise(F.get_json_object(source, "$.name"))
-    wrong = (
+    return (
         F.when(F.try_parse_json(source).isNull() | given.isNull(), "it is no JSON object")
         .when(kind.isNull() | ~kind.isin(list(_ALLOWED)), "its type is missing or unknown")
         .when(needed.isNull(), "a field is missing")
         .when(F.size(F.array_except(given, allowed)) > 0, "a key is unknown")
     )
-    read = lines.select("*", fields.alias("_e"), wrong.alias("_wrong"), source.alias("_json"))
+
+
+def json_errors(lines: DataFrame, keys: tuple[str, ...] = ("doc_id",), json_col: str = "json") -> DataFrame:
+    """keys, seq, error: the lines that ``from_json`` would stop at, and why."""
+    return lines.select(*keys, "seq", _wrong(F.col(json_col)).alias("error")).filter("error IS NOT NULL")
+
+
+def from_json(lines: DataFrame, keys: tuple[str, ...] = ("doc_id",), json_col: str = "json") -> DataFrame:
+    """Events from one JSON text each. Malformed JSON, an unknown type or key, or a missing field is an error."""
+    source = F.col(json_col)
+    read = lines.select("*", F.from_json(source, _READ).alias("_e"), _wrong(source).alias("_wrong"), source.alias("_json"))
     kind = F.when(F.col("_wrong").isNull(), F.col("_e.type")).otherwise(F.raise_error(F.concat(F.lit("not an event: "), F.col("_wrong"), F.lit(": "), F.coalesce("_json", F.lit("null")))).cast("string"))
     text = F.col("_e.type") == "text"
     return read.select(

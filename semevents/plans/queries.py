@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.codec import from_json, to_json, to_json_lines
+from ..functions.codec import from_json, json_errors, to_json, to_json_lines
 from ..model import EventBuilder, coalesce_text, events_frame, with_depth
-from ..operators.extract import extract
-from ..operators.render import render, to_html_compact
+from ..operators.extract import TagExtractor, extract, extract_with
+from ..operators.render import fragments, render, to_html_compact
 from ..operators.transform import Body, Transformer, transform
 from ..scratch import scratch_path
 from ..sources.html import from_html
@@ -219,24 +221,177 @@ def json_lines(spark, sf_dir):
 
 
 def html_to_markdown() -> Transformer:
-    """Headings, paragraphs, list items and emphasis of HTML as Markdown text."""
-    level = F.substring("name", 2, 1).cast("int")
+    """Titles, items, links, bold text and paragraphs of a page as lines of text."""
+    target = F.concat(F.lit("("), F.coalesce(F.col("attributes")["href"], F.lit("")), F.lit(") "))
     return (
         Transformer()
-        .match(F.col("name").rlike("^h[1-6]$"), Body().text(F.repeat(F.lit("#"), level)).text(" ").children("span").text("\n\n"))
-        .match("p", Body().children("span").text("\n\n"))
-        .match("li", Body().text("* ").children("span").text("\n"))
-        .match("br", Body().text(" "), mode="span")
+        .match("h1", Body().text("== ").children("title").text(" ==\n"))
+        .match("li", Body().text("+ ").children("item").text("\n"))
+        .match("a", Body().text(target).children(), mode="item")
+        .match("b", Body().text("_").children("bold").text("_"))
+        .match("br", Body().text(" / "), mode="bold")
         .match("br", Body().text("\n"))
-        .match("em", Body().text("*").children("span").text("*"), mode="span")
+        .match("p", Body().children("body").text("\n"))
         .match_text(lambda t: F.regexp_replace(t, r"\s+", " "))
     )
 
 
+def _written(events: DataFrame, key: str) -> DataFrame:
+    """The texts of each document, joined."""
+    return events.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "").alias("markdown"))
+
+
 def transform_to_markdown(spark, sf_dir):
-    docs = _doc(_table(spark, sf_dir, "nation"), "n_nationkey", F.concat(F.lit("## "), F.replace("n_name", F.lit("_"), F.lit("\\_")), F.lit("\n- *"), "n_regionkey", F.lit("* of x\n")))
-    out = transform(parse(docs), html_to_markdown())
-    return out.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "").alias("markdown"))
+    html = F.concat(F.lit("<h1>"), "n_name", F.lit("</h1><ul><li><a href=x>"), "n_regionkey", F.lit("</a></ul><a href=y>z</a><b>1<br>2</b><br><p>a\n b"))
+    pages = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), html.alias("html"))
+    return _written(transform(from_html(pages, ("doc_id",)), html_to_markdown()), "doc_id")
+
+
+def md_documents(spark, sf_dir):
+    """The documents as they are: paragraphs and formulas."""
+    marks = parse(_table(spark, sf_dir, "documents")).filter("type = 'mark' AND name IN ('p', 'math')")
+    return marks.groupBy("doc_id", "name").agg(F.count("*").alias("n"))
+
+
+# Markdown with K in place of a number, and the compact HTML of its events.
+CASES = [
+    ("a ``K ` x`` b", "<p>a <code>K ` x</code> b</p>"),
+    ("`` `K` `` z", "<p><code>`K`</code> z</p>"),
+    ("v $K*2*$ y", "<p>v <math>K*2*</math> y</p>"),
+    ("__K__ and _e_ z", "<p><strong>K</strong> and <em>e</em> z</p>"),
+    ("*a ***K** b", "<p><em>a </em><strong>K</strong> b</p>"),
+    ("x ___K___ y", "<p>x <strong><em>K</em></strong> y</p>"),
+    ("_a ___K___ b", "<p><em>a <strong><em>K</em></strong> b</em></p>"),
+    ("a **** K ~~~ === ____ z", "<p>a **** K ~~~ === ____ z</p>"),
+    ("`**K**` and $*K*$ [*K*](u) z", "<p><code>**K**</code> and <math>*K*</math> <a href=\"u\">*K*</a> z</p>"),
+    ("![*K*](u) <http://h/*K*> z", "<p><img src=\"u\" alt=\"*K*\"></img> <a href=\"http://h/*K*\">http://h/*K*</a> z</p>"),
+    ("[K](u \"t\") z [K", "<p><a href=\"u\" title=\"t\">K</a> z [K</p>"),
+    ("> a ``K`` b\n> c", "<blockquote><p>a <code>K</code> b\nc</p></blockquote>"),
+    ("```\nK", "<pre class=\"code\">K</pre>"),
+    ("| K |\n|---|\n| *K* |", "<table><thead><tr><th>K</th></tr></thead><tbody><tr><td><em>K</em></td></tr></tbody></table>"),
+    ("| K |\n", "<table><thead><tr><th>K</th></tr></thead></table>"),
+    ("<x:y k=\"K\" l='2'>\nK *", "<x:y k=\"K\" l=\"2\">K *</x:y>"),
+    ("$$\nK", "<math display=\"block\">K</math>"),
+    ("**K", "<p><strong>K</strong></p>"),
+    ("- K\n- L", "<ul><li>K</li><li>L</li></ul>"),
+    ("  - K", "<p>  - K</p>"),
+    ("- K\n  - L", "<ul><li>K</li></ul><p>  - L</p>"),
+    ("~K~ ^K^ ~~K~~ ==K== z", "<p><sub>K</sub> <sup>K</sup> <del>K</del> <mark>K</mark> z</p>"),
+    ("1. [x] K\n2. L", "<ol><li>[x] K</li><li>L</li></ol>"),
+]
+
+
+def _cases(spark, sf_dir) -> DataFrame:
+    cases = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(CASES)], "c int, t string")
+    docs = _table(spark, sf_dir, "nation").join(F.broadcast(cases))  # a few fixed cases for each row
+    return docs.select((F.col("n_nationkey") * 1000 + F.col("c")).cast("long").alias("doc_id"), F.replace("t", F.lit("K"), F.col("n_nationkey").cast("string")).alias("text"))
+
+
+def md_cases(spark, sf_dir):
+    """Spans in spans, literal runs, precedence, open ends, lists that aren't nested."""
+    return to_html_compact(parse(_cases(spark, sf_dir)))
+
+
+def _tagged(spark, sf_dir) -> DataFrame:
+    html = F.concat(F.lit('<a><b>'), "n_name", F.lit('</b><b>z</b></a>'))
+    return from_html(_table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), html.alias("html")), ("doc_id",))
+
+
+def _rules() -> Transformer:
+    return Transformer().match("a", Body().text("A")).match("b", Body().element("i", body=Body().children()), mode="m").match("b", Body().element("u", body=Body().children())).match("b", Body().text("never"))
+
+
+def transform_cases(spark, sf_dir):
+    """The first rule that fits, a rule without children(), more unmarks than marks, output that is not from tags."""
+    events = _tagged(spark, sf_dir)
+    more = events.groupBy("doc_id").agg(F.max("seq").alias("m")).select(
+        "doc_id", (F.col("m") + 1).cast("int").alias("seq"), F.lit("unmark").alias("type"), F.lit("z").alias("name"), F.lit(True).alias("is_tag"), F.lit(None).cast("map<string,string>").alias("attributes"), F.lit(None).cast("string").alias("text")
+    )
+    return to_json(transform(events.unionByName(more), _rules()))
+
+
+def _nested(spark, sf_dir) -> DataFrame:
+    """A tag in itself, left open in every third document."""
+    html = F.concat(F.lit('<t k="1"><b>x</b>'), "n_name", F.lit('<t k="2">y</t>z</t><s>'), "n_regionkey", F.lit("</s>"))
+    events = from_html(_table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), html.alias("html")), ("doc_id",))
+    return events.filter("doc_id % 3 <> 0 OR seq < 6")
+
+
+def _extraction(found: DataFrame) -> DataFrame:
+    return found.select("doc_id", "tag", "succeeded", "is_extracting", F.col("attributes")["k"].alias("k"), "content", F.size("events").alias("n"))
+
+
+def extract_nested(spark, sf_dir):
+    """Marks of the same name in a tag, other marks, tags left open; the events themselves stay as they were."""
+    events = _nested(spark, sf_dir)
+    n = events.groupBy("doc_id").agg(F.count("*").alias("all"))
+    return _extraction(extract(events, "t")).join(n, "doc_id")
+
+
+def extract_several(spark, sf_dir):
+    """Several extractors in one pass."""
+    return _extraction(extract_with(_nested(spark, sf_dir), [partial(TagExtractor, "t"), partial(TagExtractor, "s")]))
+
+
+def render_lines(spark, sf_dir):
+    """Lines of a text that stand in blocks are indented, empty ones aren't."""
+    html = F.concat(F.lit("<div><p>a\n"), "n_name", F.lit("\n\nb</p></div><pre>c\n"), "n_regionkey", F.lit("</pre>"))
+    pages = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), html.alias("html"))
+    return render(from_html(pages, ("doc_id",)))
+
+
+BAD_JSON = ['{"name":"K"}', '{"type":"x","name":"K"}', '{"type":"mark"}', '{"type":"text"}', '{"type":"text","text":"K"', '{"type":"text","text":"K","q":1}', "[K]", '{"type":"text","text":"K"}', '{"type":"unmark","name":"K","attributes":{}}']
+
+
+def json_scan_errors(spark, sf_dir):
+    """Lines that are no events, and why; one of them is."""
+    lines = F.array(*[F.replace(F.lit(x), F.lit("K"), F.col("n_nationkey").cast("string")) for x in BAD_JSON])
+    return json_errors(_table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), F.posexplode(lines).alias("seq", "json")))
+
+
+def _run_stream(spark, out: DataFrame, mode: str = "append") -> DataFrame:
+    """What a stream writes until its source is read, with the number of the micro-batch."""
+    root = scratch_path(spark, "stream")
+    write = lambda df, batch: df.withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{root}/out")
+    out.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema.add("batch", "long")).parquet(f"{root}/out")
+
+
+def _event_stream(spark, events: DataFrame) -> DataFrame:
+    """Events as a stream: written in three parts by place in the document, a micro-batch each."""
+    path = scratch_path(spark, "stream")
+    for part in range(3):
+        events.filter((F.col("seq") >= 3 * part) & ((F.col("seq") < 3 * part + 3) if part < 2 else F.lit(True))).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def stream_transform(spark, sf_dir):
+    """The transform of events that come in several micro-batches."""
+    return to_html_compact(_run_stream(spark, transform(_event_stream(spark, _tagged(spark, sf_dir)), _rules())))
+
+
+def stream_extract(spark, sf_dir):
+    """Extractors over events that come in several micro-batches: the last state of each document."""
+    found = _run_stream(spark, extract_with(_event_stream(spark, _nested(spark, sf_dir)), [partial(TagExtractor, "t")]), "update")
+    last = found.withColumn("last", F.max("batch").over(Window.partitionBy("doc_id"))).filter("batch = last")
+    return _extraction(last)
+
+
+def stream_render(spark, sf_dir):
+    """HTML from fragments that are written as their events come."""
+    docs = _doc(_table(spark, sf_dir, "supplier"), "s_suppkey", F.concat(F.lit("- **"), "s_name", F.lit("** & x\n\n```sql\na < "), "s_suppkey", F.lit("\n  c\n```\n---\n")))
+    frags = _run_stream(spark, fragments(_event_stream(spark, parse(docs, prose=False))))
+    return frags.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "frag"))), lambda x: x["frag"]), "").alias("html"))
+
+
+def stream_early(spark, sf_dir):
+    """Chunks of documents that never end, empty ones between them: what is certain is there all the same."""
+    schema = _table(spark, sf_dir, "nation").schema
+    n = spark.readStream.schema(schema).parquet(f"{sf_dir}/nation.parque[t]")
+    parts = F.array(F.lit("# He"), F.lit(""), F.concat("n_nationkey", F.lit("\n")), F.lit(""), F.lit("a *"), F.lit("b"))
+    chunks = n.select(F.col("n_nationkey").cast("long").alias("doc_id"), F.posexplode(parts).alias("chunk_seq", "chunk"), F.lit(False).alias("eof"))
+    out = _run_stream(spark, parse_stream(chunks)).groupBy("doc_id")
+    return out.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.concat_ws(" ", "type", "name", "text").alias("e")))), lambda x: x["e"]), "|").alias("events"))
 
 
 def depth_stats(spark, sf_dir):
@@ -256,8 +411,8 @@ def html_compact(spark, sf_dir):
 
 
 def html_markdown(spark, sf_dir):
-    out = transform(from_html(_table(spark, sf_dir, "pages")), html_to_markdown(), ("page_id",))
-    return out.groupBy("page_id").agg(F.sum(F.length("text")).alias("n_chars"), F.count("*").alias("n"))
+    out = _written(transform(from_html(_table(spark, sf_dir, "pages")), html_to_markdown(), ("page_id",)), "page_id")
+    return out.select("page_id", F.md5("markdown").alias("md5"), F.length("markdown").cast("long").alias("n_chars"))
 
 
 def marks_join_labels(spark, sf_dir):
@@ -283,6 +438,7 @@ def stream_events(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     prose_events, escaped_render, md_headings, md_tables, md_tasks, md_code_blocks, md_spans, md_links, md_quotes, md_math, extract_tag, json_roundtrip,
+    md_documents, md_cases, transform_cases, extract_nested, extract_several, render_lines, json_scan_errors, stream_transform, stream_extract, stream_render, stream_early,
     md_scripts, md_images, md_breaks, md_quote_lists, markup_render, extract_absent, json_scan, builder_events, event_diff, html_scan, transform_elements, render_blocks, json_lines, transform_to_markdown, depth_stats, html_links, html_compact, html_markdown, marks_join_labels, stream_events,
 )}
 
@@ -290,6 +446,17 @@ _CLEAN = r"regexp_replace(text, '[\\`*_~^=$!\[<#>|0-9-]', ' ', 'g')"
 _LINES = f"list_filter(string_split({_CLEAN}, chr(10)), lambda x: x <> '')"
 _ESCAPED = "replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+# Pages as they are written, but for: the doctype and comments, void elements, paragraphs that begin in a bold one, ends
+# that are missing, entities, and the script, whose text holds a tag.
+_COMPACT = """replace(replace(replace(regexp_replace(replace(replace(regexp_replace(regexp_replace(html, '<!DOCTYPE html>|<!--.*?-->', '', 'g'),
+    'var t="</p>";', 'var t="&lt;/p&gt;";', 'g'), '<br>', '<br></br>'), '<meta charset="utf-8">', '<meta charset="utf-8"></meta>'),
+    '<b>([^<]*)<br></br><(p|/article)>', '<b>\\1<br></br></b></p><\\2>', 'g'), '&middot;', chr(183)), '&copy;', chr(169)), '&quot;', '"')
+    || CASE WHEN contains(html, '</html>') THEN '' ELSE '</body></html>' END"""
+
 ORACLES = {
     "prose_events": f"""SELECT doc_id, u.type AS type, CAST(len(l) AS BIGINT) AS n FROM (SELECT doc_id, {_LINES} AS l FROM documents)
         CROSS JOIN (VALUES ('mark'), ('text'), ('unmark')) AS u(type) WHERE len(l) > 0""",
@@ -342,7 +509,35 @@ ORACLES = {
     "transform_elements": """SELECT CAST(n_nationkey AS BIGINT) AS doc_id, '<x:h k="v">&lt;' || lower(n_name) || '&gt;</x:h><i>' || n_regionkey || '</i> x' AS html FROM nation""",
     "render_blocks": """SELECT s_suppkey AS doc_id, '<ul>' || chr(10) || '  <li>' || chr(10) || '    <strong>' || s_name || '</strong> &amp; x' || chr(10) || '  </li>' || chr(10) || '</ul>' || chr(10)
         || '<pre class="code lang-sql">' || chr(10) || 'a &lt; ' || s_suppkey || chr(10) || '  c' || chr(10) || '</pre>' || chr(10) || '<hr></hr>' AS html FROM supplier""",
-    "transform_to_markdown": "SELECT CAST(n_nationkey AS BIGINT) AS doc_id, '## ' || n_name || chr(10) || chr(10) || '* *' || n_regionkey || '* of x' || chr(10) AS markdown FROM nation",
+    "transform_to_markdown": """SELECT CAST(n_nationkey AS BIGINT) AS doc_id, '== ' || n_name || ' ==' || chr(10) || '+ (x) ' || n_regionkey || chr(10) || 'z_1 / 2_' || chr(10) || 'a b' || chr(10) AS markdown FROM nation""",
+    "md_documents": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents), n AS (SELECT doc_id, count(*) AS p, sum(CAST(ceil(len(regexp_extract_all(l, '[$]')) / 2) AS BIGINT)) AS m FROM l WHERE l <> '' GROUP BY doc_id)
+        SELECT doc_id, 'p' AS name, CAST(p AS BIGINT) AS n FROM n UNION ALL SELECT doc_id, 'math', CAST(m AS BIGINT) FROM n WHERE m > 0""",
+    "md_cases": f"""SELECT CAST(n_nationkey * 1000 + c.i AS BIGINT) AS doc_id, replace(c.h, 'K', CAST(n_nationkey AS VARCHAR)) AS html FROM nation
+        CROSS JOIN (VALUES {", ".join(f"({i}, {_quoted(h)})" for i, (_, h) in enumerate(CASES))}) AS c(i, h)""",
+    "transform_cases": """WITH e AS (SELECT unnest([0, 1, 2, 3, 4, 5, 6]) AS seq, unnest(['{"type":"text","text":"A"}', '{"type":"mark","name":"u","attributes":{}}', '', '{"type":"unmark","name":"u"}',
+        '{"type":"mark","name":"u","attributes":{}}', '{"type":"text","text":"z"}', '{"type":"unmark","name":"u"}']) AS json)
+        SELECT CAST(n_nationkey AS BIGINT) AS doc_id, CAST(seq AS INTEGER) AS seq, CASE WHEN seq = 2 THEN '{"type":"text","text":"' || n_name || '"}' ELSE json END AS json FROM nation CROSS JOIN e""",
+    "extract_nested": """SELECT CAST(n_nationkey AS BIGINT) AS doc_id, 't' AS tag, n_nationkey % 3 <> 0 AS succeeded, n_nationkey % 3 = 0 AS is_extracting, '2' AS k,
+        'x' || n_name || CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE 'y' END AS content, CAST(CASE WHEN n_nationkey % 3 = 0 THEN 4 ELSE 6 END AS INTEGER) AS n, CAST(CASE WHEN n_nationkey % 3 = 0 THEN 6 ELSE 13 END AS BIGINT) AS "all" FROM nation""",
+    "extract_several": """SELECT CAST(n_nationkey AS BIGINT) AS doc_id, 't' AS tag, n_nationkey % 3 <> 0 AS succeeded, n_nationkey % 3 = 0 AS is_extracting, '2' AS k,
+        'x' || n_name || CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE 'y' END AS content, CAST(CASE WHEN n_nationkey % 3 = 0 THEN 4 ELSE 6 END AS INTEGER) AS n FROM nation
+        UNION ALL SELECT n_nationkey, 's', n_nationkey % 3 <> 0, false, NULL, CASE WHEN n_nationkey % 3 <> 0 THEN CAST(n_regionkey AS VARCHAR) END, CASE WHEN n_nationkey % 3 = 0 THEN 0 ELSE 3 END FROM nation""",
+    "render_lines": """SELECT CAST(n_nationkey AS BIGINT) AS doc_id, '<div>' || chr(10) || '  <p>' || chr(10) || '    a' || chr(10) || '    ' || n_name || chr(10) || chr(10) || '    b' || chr(10) || '  </p>' || chr(10) || '</div>' || chr(10)
+        || '<pre>' || chr(10) || 'c' || chr(10) || n_regionkey || chr(10) || '</pre>' AS html FROM nation""",
+    "json_scan_errors": """SELECT CAST(n_nationkey AS BIGINT) AS doc_id, CAST(e.seq AS INTEGER) AS seq, e.error AS error FROM nation CROSS JOIN (VALUES (0, 'its type is missing or unknown'), (1, 'its type is missing or unknown'),
+        (2, 'a field is missing'), (3, 'a field is missing'), (4, 'it is no JSON object'), (5, 'a key is unknown'), (6, 'it is no JSON object'), (8, 'a key is unknown')) AS e(seq, error)""",
+    "stream_transform": "SELECT CAST(n_nationkey AS BIGINT) AS doc_id, 'A<u>' || n_name || '</u><u>z</u>' AS html FROM nation",
+    "stream_extract": """SELECT CAST(n_nationkey AS BIGINT) AS doc_id, 't' AS tag, n_nationkey % 3 <> 0 AS succeeded, n_nationkey % 3 = 0 AS is_extracting, '2' AS k,
+        'x' || n_name || CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE 'y' END AS content, CAST(CASE WHEN n_nationkey % 3 = 0 THEN 4 ELSE 6 END AS INTEGER) AS n FROM nation""",
+    "stream_render": """SELECT s_suppkey AS doc_id, '<ul>' || chr(10) || '  <li>' || chr(10) || '    <strong>' || s_name || '</strong> &amp; x' || chr(10) || '  </li>' || chr(10) || '</ul>' || chr(10)
+        || '<pre class="code lang-sql">' || chr(10) || 'a &lt; ' || s_suppkey || chr(10) || '  c' || chr(10) || '</pre>' || chr(10) || '<hr></hr>' AS html FROM supplier""",
+    "stream_early": "SELECT CAST(n_nationkey AS BIGINT) AS doc_id, 'mark h1|text He|text ' || n_nationkey || '|unmark h1|mark p|text a|text  |mark em|text b' AS events FROM nation",
+    "html_compact": f"SELECT page_id, {_COMPACT} AS html FROM pages",
+    "html_markdown": f"""WITH c AS (SELECT page_id, regexp_replace({_COMPACT}, '\\s+', ' ', 'g') AS h FROM pages),
+        r AS (SELECT page_id, replace(replace(replace(regexp_replace(h, '<li><a href="([^"]*)">', '+ (\\1) ', 'g'), '</li>', chr(10)), '<h1>', '== '), '</h1>', ' ==' || chr(10)) AS h FROM c),
+        s AS (SELECT page_id, regexp_replace(replace(replace(replace(replace(replace(h, '<br></br></b>', ' / _'), '<b>', '_'), '</b>', '_'), '<br></br>', chr(10)), '</p>', chr(10)), '</?[a-zA-Z][^>]*>', '', 'g') AS h FROM r),
+        t AS (SELECT page_id, replace(replace(replace(h, '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS h FROM s)
+        SELECT page_id, md5(h) AS md5, CAST(length(h) AS BIGINT) AS n_chars FROM t""",
     "depth_stats": "SELECT p_partkey AS doc_id, CAST(5 AS INTEGER) AS deepest, CAST(13 AS BIGINT) AS marks FROM part",
     "html_links": """SELECT page_id, name, CAST(len(regexp_extract_all(html, '<' || name || '[ >]')) AS BIGINT) AS n FROM pages CROSS JOIN (VALUES ('a'), ('li'), ('p')) AS u(name)
         WHERE len(regexp_extract_all(html, '<' || name || '[ >]')) > 0""",

@@ -1,11 +1,13 @@
 """Event operators on Spark."""
 
+from functools import partial
+
 import pytest
 from pyspark.sql import functions as F
 
 from semevents.functions.codec import from_json, to_json, to_json_lines
 from semevents.model import EventBuilder, coalesce_text, unbalanced, with_depth
-from semevents.operators.extract import extract
+from semevents.operators.extract import TagExtractor, extract, extract_with
 from semevents.operators.render import render, to_html_compact
 from semevents.operators.transform import Body, Transformer, transform
 from semevents.plans.queries import html_to_markdown
@@ -87,21 +89,46 @@ def test_depth(spark):
 
 
 def test_extract(spark):
-    e = parse(docs(spark, 'x\n<foo:bar buzz="42">\na\nb\n</foo:bar>\n<foo:bar>c</foo:bar>', "none", "<foo:bar>", "<foo:bar></foo:bar>"))
-    got = {r["doc_id"]: r for r in extract(e, "foo:bar").collect()}
-    assert (got[0]["succeeded"], got[0]["content"], got[0]["attributes"]) == (True, "a\nb", {"buzz": "42"})
-    assert (got[1]["succeeded"], got[1]["is_extracting"], got[1]["content"], got[1]["events"]) == (False, False, None, [])
-    assert (got[2]["succeeded"], got[3]["content"], got[3]["succeeded"]) == (True, None, True)
+    e = parse(docs(spark, "x\n<ns:note lang='de' n=\"7\">\n1\n2\n</ns:note>\n<ns:note>later</ns:note>", "none", "<ns:note>", "<ns:note></ns:note>"))
+    for found in (extract(e, "ns:note"), extract_with(e, [partial(TagExtractor, "ns:note")])):
+        got = {r["doc_id"]: r for r in found.collect()}
+        assert (got[0]["succeeded"], got[0]["content"], got[0]["attributes"]) == (True, "1\n2", {"lang": "de", "n": "7"})
+        assert (got[1]["succeeded"], got[1]["is_extracting"], got[1]["content"], got[1]["events"]) == (False, False, None, [])
+        assert (got[2]["succeeded"], got[3]["content"], got[3]["succeeded"]) == (True, None, True)
     b = EventBuilder().mark("t").text("a")
     r = extract(b.frame(spark), "t").collect()[0]
     assert (r["succeeded"], r["is_extracting"], r["content"]) == (False, True, "a")
 
 
+def test_own_extractor(spark):
+    class Longest(TagExtractor):
+        """The longest text, whatever it stands in."""
+
+        def process(self, seq, event):
+            if event[0] == "text" and len(event[4]) > len(self.extracted[0][1][4] if self.extracted else ""):
+                self.extracted = [(seq, event)]
+
+    e = parse(docs(spark, "a\nlonger\nb", ""))
+    assert {r["doc_id"]: r["content"] for r in extract_with(coalesce_text(e), [partial(Longest, "longest"), partial(TagExtractor, "z")]).filter("tag = 'longest'").collect()} == {0: "longer"}
+
+
 def test_transform(spark):
-    page = "<html><body><h2>T</h2><p>a\n  b <em>c</em><br>d</p><br><ul><li>x</li></ul><em>n</em></body></html>"
+    page = "<html><body><h1>T</h1><p>a\n  b <b>c<br></b><br>d</p><br><ul><li><a href='u'>x</a></li></ul><a href='v'>n</a></body></html>"
     e = from_html(spark.createDataFrame([(0, page)], "doc_id bigint, html string"), ("doc_id",))
     out = coalesce_text(transform(e, html_to_markdown()))
-    assert [r["text"] for r in out.collect()] == ["## T\n\na b *c* d\n\n\n* x\nn"]
+    assert [r["text"] for r in out.collect()] == ["== T ==\na b _c / _\nd\n\n+ (u) x\nn"]
+
+
+def test_transform_of_deep_documents(spark):
+    b = EventBuilder()
+    for _ in range(3000):
+        b.mark("d")
+    b.text("t")
+    for _ in range(3000):
+        b.unmark("d")
+    t = Transformer().match("d", Body().text("(").children("in").text(")"), mode="in").match("d", Body().text("<").children("in").text(">"))
+    out = transform(b.frame(spark), t).orderBy("seq").collect()
+    assert "".join(r["text"] for r in out) == "<" + "(" * 2999 + "t" + ")" * 2999 + ">" and [r["seq"] for r in out] == list(range(6001))
 
 
 def test_transform_elements_and_order(spark):
@@ -123,7 +150,7 @@ def test_html():
 
 def test_stream_is_batch(spark, tmp_path):
     schema = "doc_id bigint, chunk_seq int, chunk string, eof boolean"
-    rows = [(0, 1, "lo\n- *a", False), (0, 0, "# Hel", False), (1, 0, "x", True), (0, 0, "dup", False), (0, 2, "* b", False), (0, 3, "", True)]
+    rows = [(0, 1, "lo\n- *a", False), (0, 0, "# Hel", False), (1, 0, "x", True), (0, 0, "dup", False), (0, 2, "* b", False), (0, 3, "", True), (1, 0, "again", True), (1, 5, "late", False)]
     for i, part in enumerate((rows[:1], rows[1:4], rows[4:])):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         assert i < 3

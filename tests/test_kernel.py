@@ -122,3 +122,29 @@ def test_events_come_as_soon_as_they_are_certain():
 def test_options():
     assert show(MarkdownKernel(tag_names=("thinking",)).parse("<thinking>\nx\n</thinking>")) == "<thinking>x</thinking>"
     assert show(MarkdownKernel(normalize_newlines=True).parse("a\r\n\r\nb")) == "<p>a</p><p>b</p>"
+
+
+@pytest.mark.parametrize("part", ["- item *x* y\n", "word *x* [l](u) `c` ", "<a:b>\nxx\n</a:b>\n", "> q\n", "| a | b |\n"])
+def test_work_is_linear_in_the_text(part):
+    """Characters that are cut off what is still to be read, counted: the same for each character of a longer text."""
+
+    class Counted(str):
+        copied = 0
+
+        def __getitem__(self, at):
+            out = str.__getitem__(self, at)
+            Counted.copied += len(out)
+            return Counted(out) if isinstance(at, slice) else out
+
+        def __add__(self, other):
+            return Counted(str.__add__(self, other))
+
+        def __radd__(self, other):
+            return Counted(str.__add__(other, self))
+
+    def copied(n):
+        Counted.copied = 0
+        MarkdownKernel().parse(Counted(part * n))
+        return Counted.copied / n
+
+    assert copied(2000) < 1.5 * copied(200) + 10
