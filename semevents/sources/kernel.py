@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import lru_cache
 
 from ..model import Event, mark_event, text_event, unmark_event
 
@@ -21,9 +22,21 @@ RUN = re.compile(r"\*+|_+|~+|=+")
 NAME = r"[\w.-]+:[\w.-]+"
 ATTRIBUTE = re.compile(r"""([\w:.-]+)=["']([^"']*)["']""")
 SEPARATOR = re.compile(r"\|[-:|\s]+\|")
+HEADING, NUMBER, TASK = re.compile(r"(#{1,6}) "), re.compile(r"\d+\. "), re.compile(r"- \[([ x])\] ")
+FENCE, BREAK = re.compile(r"```([a-zA-Z0-9]*)"), re.compile(r"-{3,}")
+#: Beginnings that may become something other than a paragraph, a task, an item.
+UNDECIDED = re.compile(r"#{1,6}|`{1,2}|```[a-zA-Z0-9]*|-+|- |- \[[ x]?\]?|\d+\.?|>|\$\$?")
+MAYBE_TASK, MAYBE_BULLET, MAYBE_NUMBER = re.compile(r"- \[[ x]?\]?"), re.compile(r"-|- |- \[[ x]?\]?"), re.compile(r"\d+\.?")
 VERSION = 1
 
 
+@lru_cache
+def _tag_patterns(tag_names: tuple[str, ...]) -> tuple[re.Pattern, re.Pattern]:
+    """An open tag, and what may become one."""
+    names = "|".join([NAME, *map(re.escape, tag_names)])
+    return re.compile(rf"<({names})((?:\s[^>]*)?)(/?)>"), re.compile(rf"<[\w.:-]*/?$|<(?:{names})\s[^>]*$")
+
+
 class Inline:
     """Toggled spans over streamed text."""
 
@@ -229,9 +242,7 @@ class MarkdownKernel:
         self.tag = ""
         self.joined = False
         self.seq = 0
-        names = "|".join([NAME, *map(re.escape, self.tag_names)])
-        self._open_tag = re.compile(rf"<({names})((?:\s[^>]*)?)(/?)>")
-        self._maybe_tag = re.compile(rf"<[\w.:-]*/?$|<(?:{names})\s[^>]*$")
+        self._open_tag, self._maybe_tag = _tag_patterns(self.tag_names)
 
     def state(self) -> str:
         keep = {k: getattr(self, k) for k in ("tag_names", "normalize_newlines", "mode", "pending", "inside", "held", "tag", "joined", "seq")}
@@ -336,7 +347,7 @@ class MarkdownKernel:
         c = line[0]
         if c not in "#`->|$<0123456789":
             return self._paragraph(line, True)
-        heading = re.match(r"(#{1,6}) ", line)
+        heading = HEADING.match(line)
         if heading:
             self._mark(f"h{len(heading[1])}")
             return self._stream(f"h{len(heading[1])}", heading.end(), line)
@@ -363,16 +374,16 @@ class MarkdownKernel:
 
     def _undecided(self, line: str) -> bool:
         return bool(
-            re.fullmatch(r"#{1,6}|`{1,2}|```[a-zA-Z0-9]*|-+|- |- \[[ x]?\]?|\d+\.?|>|\$\$?", line)
+            UNDECIDED.fullmatch(line)
             or line[0] == "|" or self._maybe_tag.match(line)
         )
 
     def _whole_line(self, line: str) -> int | None:
-        fence = re.fullmatch(r"```([a-zA-Z0-9]*)", line)
+        fence = FENCE.fullmatch(line)
         if fence:
             self._mark("pre", {"class": f"code lang-{fence[1]}" if fence[1] else "code"})
             self.mode = "code"
-        elif re.fullmatch(r"-{3,}", line):
+        elif BREAK.fullmatch(line):
             self._mark("hr")
             self._unmark("hr")
         elif line == "$$":
@@ -390,13 +401,13 @@ class MarkdownKernel:
     @staticmethod
     def _item(line: str, whole: bool) -> tuple[str, int, bool | None] | None:
         """(list, characters of the marker, checked) if the line surely begins a list item."""
-        number = re.match(r"\d+\. ", line)
+        number = NUMBER.match(line)
         if number and (len(line) > number.end() or not whole):
             return "ol", number.end(), None
-        task = re.match(r"- \[([ x])\] ", line)
+        task = TASK.match(line)
         if task:
             return "ul", task.end(), task[1] == "x"
-        if line.startswith("- ") and len(line) > 2 and (whole or not re.fullmatch(r"- \[[ x]?\]?", line)):
+        if line.startswith("- ") and len(line) > 2 and (whole or not MAYBE_TASK.fullmatch(line)):
             return "ul", 2, None
         return None
 
@@ -413,7 +424,7 @@ class MarkdownKernel:
         item = self._item(line, whole)
         if item and item[0] == kind:
             return self._begin_item(item, line)
-        if not whole and re.fullmatch(r"-|- |- \[[ x]?\]?" if kind == "ul" else r"\d+\.?", line):
+        if not whole and (MAYBE_BULLET if kind == "ul" else MAYBE_NUMBER).fullmatch(line):
             return None
         self._unmark(kind)
         self.mode = "start"
