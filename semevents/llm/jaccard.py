@@ -4,7 +4,8 @@ Texts are sets of word five-grams. Equal sets are collapsed first. A set is embe
 (i, minimum under hash i), of which two sets share about their Jaccard similarity. The chosen-path recursion deals
 sets into buckets: at a node every set goes to the children of those of its tokens that a hash of the node and the
 token samples, 1/threshold children on average, so that similar sets go on together and others part. A small
-bucket is searched by brute force over the embedded sets; a large one is split again, and what is still large at the
+bucket is searched by brute force over the embedded sets; of a large one the sets near to a pivot are linked to it, and unless
+few others are left, which are searched against the whole bucket, it is split again; what is still large at the
 last depth is searched by brute force in blocks. Independent runs from the root repeat this until the target recall,
 which holds for pairs that meet in large buckets only, too.
 
@@ -36,6 +37,8 @@ RECALL = 0.9999
 #: Buckets up to this size are searched by brute force by one task.
 SMALL = 1000
 DEPTH = 4
+#: Sets of a large bucket that may become its pivot.
+PIVOTS = 4
 #: How much oftener than at the root a large bucket's split samples a token, to make up for pairs that splits part.
 SPLIT = 1.25
 #: Documents of a group that are compared at a time.
@@ -131,30 +134,40 @@ class _Union:
         return a != b
 
 
+def _least(threshold: float) -> int:
+    """Tokens that candidates share at least."""
+    return int(WIDTH * threshold - SLACK * (WIDTH * threshold * (1 - threshold)) ** 0.5)
+
+
 def _sketch_edges(keys: np.ndarray, e: np.ndarray, left: np.ndarray, right: np.ndarray, least: int) -> list[tuple[int, int]]:
     """Joining edges between rows ``left`` and ``right`` whose embedded sets share ``least`` tokens."""
-    u = _Union(len(keys))
+    label = np.arange(len(keys))
     out = []
-    columns = np.ascontiguousarray(e[right].T)
-    for i in left:
-        same = np.zeros(len(right), dtype=np.uint8)
-        for j in range(WIDTH):
-            same += columns[j] == e[i, j]
-        for k in right[same >= least]:
-            if k != i and u.join(i, k):
-                out.append((keys[i], keys[k]))
+    columns = np.ascontiguousarray(e.T)
+    step = max(1, (1 << 20) // max(1, len(right)))
+    for a in range(0, len(left), step):
+        part = left[a : a + step]
+        same = np.zeros((len(part), len(right)), dtype=np.uint8)
+        for c in columns:
+            same += c[part][:, None] == c[right]
+        near = same >= least
+        for r in np.flatnonzero(near.any(axis=1)):
+            i, ks = part[r], right[near[r]]
+            for k in ks[label[ks] != label[i]]:
+                if label[k] != label[i]:
+                    out.append((keys[i], keys[k]))
+                    label[label == label[k]] = label[i]
     return out
 
 
 def _candidates(table: pa.Table, threshold: float) -> pa.Table:
     """Brute force within a bucket, or between two blocks of one."""
-    least = int(WIDTH * threshold - SLACK * (WIDTH * threshold * (1 - threshold)) ** 0.5)
     keys, first = np.unique(table["key"].to_numpy(), return_index=True)
     e = np.frombuffer(b"".join(table["sketch"].take(pa.array(first)).to_pylist()), dtype=np.uint32).reshape(-1, WIDTH)
     part = table["part"].to_numpy()[first]
     low, high = (int(table[c][0].as_py()) for c in ("lo", "hi"))
     left, right = (np.flatnonzero(part == p) for p in (low, high))
-    edges = _sketch_edges(keys, e, left, right, least)
+    edges = _sketch_edges(keys, e, left, right, _least(threshold))
     return pa.table({"a": pa.array([x[0] for x in edges], pa.int64()), "b": pa.array([x[1] for x in edges], pa.int64())})
 
 
@@ -170,6 +183,53 @@ def _blocks(df: DataFrame, size: str, block: int) -> DataFrame:
     )
 
 
+def _others(table: pa.Table, threshold: float) -> pa.Table:
+    """Brute force between the rows that aren't near to their bucket's pivot and a part of the bucket."""
+    keys, first = np.unique(table["key"].to_numpy(), return_index=True)
+    e = np.frombuffer(b"".join(table["sketch"].take(pa.array(first)).to_pylist()), dtype=np.uint32).reshape(-1, WIDTH)
+    left = np.flatnonzero(~table["near"].to_numpy()[first])
+    edges = _sketch_edges(keys, e, left, np.arange(len(keys)), _least(threshold))
+    return pa.table({"a": pa.array([x[0] for x in edges], pa.int64()), "b": pa.array([x[1] for x in edges], pa.int64())})
+
+
+def _around_pivots(large: DataFrame, threshold: float, small: int) -> tuple[DataFrame, DataFrame]:
+    """Candidate edges of large buckets, and the rows (node, key, size, sketch) of those that must be split.
+
+    Mostly a bucket is large because very many near copies meet in it, which no split parts. Of PIVOTS sets that with the most
+    sets near to it becomes the bucket's pivot, and those are linked to it, so they are one candidate group. Where no
+    more than ``small`` sets are left over, they are compared with the whole bucket in parts, and the bucket is done: no pair
+    of it is lost, and its rows are copied only as often as there are left-over sets in proportion.
+    """
+    picks = [F.min_by(F.struct("key", "sketch"), F.xxhash64("key", F.lit(j))).alias(f"p{j}") for j in range(PIVOTS)]
+    pivots = saved(large.groupBy("node").agg(*picks))
+    least = _least(threshold)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = lambda c: np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint32).reshape(-1, WIDTH)
+        for batch in batches:
+            own = sketch(batch.column(3))
+            hits = [pa.array((own == sketch(batch.column(4 + j))).sum(axis=1) >= least) for j in range(PIVOTS)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *hits], names=["node", "key", "size", "sketch", *[f"m{j}" for j in range(PIVOTS)]])
+
+    met = large.hint("merge").join(pivots, "node").select("node", "key", "size", "sketch", *[F.col(f"p{j}.sketch").alias(f"s{j}") for j in range(PIVOTS)])
+    fields = "node long, key long, size long, sketch binary, " + ", ".join(f"m{j} boolean" for j in range(PIVOTS))
+    met = saved(met.mapInArrow(near, fields))
+    sums = met.groupBy("node").agg(*[F.sum(F.col(f"m{j}").cast("long")).alias(f"n{j}") for j in range(PIVOTS)])
+    most = F.greatest(*[f"n{j}" for j in range(PIVOTS)])
+    best = F.coalesce(*[F.when(F.col(f"n{j}") == most, F.lit(j)) for j in range(PIVOTS)])
+    chosen = saved(sums.join(pivots, "node").select("node", best.alias("best"), most.alias("many"), F.coalesce(*[F.when(best == j, F.col(f"p{j}.key")) for j in range(PIVOTS)]).alias("pivot")))
+    at = met.hint("merge").join(chosen, "node").select(
+        "node", "key", "size", "sketch", "pivot", (F.col("size") - F.col("many")).alias("rest"), F.coalesce(*[F.when(F.col("best") == j, F.col(f"m{j}")) for j in range(PIVOTS)]).alias("near")
+    )
+    at = saved(at)
+    edges = at.filter("near AND key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b"))
+    parts = F.ceil(F.col("size") / small).cast("int")
+    own = F.array(F.pmod(F.xxhash64("key", F.lit(5)), parts).cast("int"))
+    dealt = at.filter(F.col("rest").between(1, small)).select("node", "key", "sketch", "near", F.explode(F.when(F.col("near"), own).otherwise(F.sequence(F.lit(0), parts - 1))).alias("part"))
+    others = dealt.groupBy("node", "part").applyInArrow(lambda t: _others(t, threshold), "a long, b long")
+    return edges.unionByName(others).distinct(), at.filter(F.col("rest") > small).select("node", "key", "size", "sketch")
+
+
 def _groups(sets: DataFrame, threshold: float, small: int, depth: int) -> DataFrame:
     """Candidate edges between sets (key, sketch, paths) from the chosen-path recursion."""
     spark = sets.sparkSession
@@ -181,12 +241,18 @@ def _groups(sets: DataFrame, threshold: float, small: int, depth: int) -> DataFr
         sizes = saved(rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1"))
         full = saved(rows.join(sizes.hint("merge"), "node").join(sketches.hint("merge"), "key").select("node", "key", "size", "sketch"))
         last = level == depth - 1
-        now = full if last else full.filter(F.col("size") <= small)
+        left = None
+        now = full.filter(F.col("size") <= small)
+        large = full.filter(F.col("size") > small)
+        if not large.isEmpty():
+            near, left = _around_pivots(large, threshold, small)
+            edges = near if edges is None else edges.unionByName(near)
+            if last:
+                now = now.unionByName(left.select(*now.columns))
         dealt = _blocks(now, "size", small).select("node", "lo", "hi", "part", "key", "sketch")
         found = dealt.groupBy("node", "lo", "hi").applyInArrow(lambda t: _candidates(t, threshold), "a long, b long").distinct()
         edges = found if edges is None else edges.unionByName(found)
-        large = full.filter(F.col("size") > small)
-        if last or large.isEmpty():
+        if last or left is None or left.isEmpty():
             break
 
         def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +263,7 @@ def _groups(sets: DataFrame, threshold: float, small: int, depth: int) -> DataFr
                     row, node = _children(part.column(0).to_numpy().view(np.uint64), e, threshold / SPLIT)
                     yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), part.column(1).take(pa.array(row))], ["node", "key"])
 
-        rows = large.select("node", "key", "sketch").mapInArrow(split, "node long, key long")
+        rows = left.select("node", "key", "sketch").mapInArrow(split, "node long, key long")
     return edges if edges is not None else spark.createDataFrame([], "a long, b long")
 
 

@@ -138,6 +138,28 @@ def test_jaccard_is_brute_force(docs, rows, small, block):
     assert sorted(got, key=str) == brute_classes(rows)
 
 
+def test_jaccard_of_large_buckets(spark):
+    """Two large groups of near copies, one text that is near to one of them at its rim, strangers with a common passage."""
+    rng = np.random.default_rng(11)
+    vocabulary = ["w%d" % i for i in range(3000)]
+    made = []
+    for g in range(2):
+        base = list(rng.choice(vocabulary, 120))
+        for k in range(40):
+            text = list(base)
+            text[int(rng.integers(0, 120))] = "x%d" % k
+            made.append((len(made), " ".join(text)))
+    rim = made[0][1].split()
+    rim[10] = rim[60] = "rim"
+    made.append((len(made), " ".join(rim)))
+    common = " ".join(rng.choice(vocabulary, 60))
+    made += [(1000 + i, common + " " + " ".join(rng.choice(vocabulary, 40))) for i in range(30)]
+    df = spark.createDataFrame(made, "doc_id bigint, text string")
+    want = brute_classes(made)
+    for small in (5, 20, 45):
+        assert sorted((tuple(r) for r in jaccard.near_duplicates(df, small=small, depth=3).collect()), key=str) == want
+
+
 def test_jaccard_keeps_clashing_columns(docs):
     odd = docs.select("doc_id", "text", F.col("doc_id").alias("_d"), F.lit("t").alias("_th"), F.lit(1).alias("key"))
     kept = jaccard.drop_near_duplicates(odd)
