@@ -193,7 +193,7 @@ def _others(table: pa.Table, threshold: float) -> pa.Table:
 
 
 def _around_pivots(large: DataFrame, threshold: float, small: int) -> tuple[DataFrame, DataFrame]:
-    """Candidate edges of large buckets, and the rows (node, key, size, sketch) of those that must be split.
+    """Candidate edges of large buckets (some repeated), and the rows (node, key, size, sketch) of those that must be split.
 
     Mostly a bucket is large because very many near copies meet in it, which no split parts. Of PIVOTS sets that with the most
     sets near to it becomes the bucket's pivot, and those are linked to it, so they are one candidate group. Where no
@@ -211,14 +211,14 @@ def _around_pivots(large: DataFrame, threshold: float, small: int) -> tuple[Data
             hits = [pa.array((own == sketch(batch.column(4 + j))).sum(axis=1) >= least) for j in range(PIVOTS)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], *hits], names=["node", "key", "size", "sketch", *[f"m{j}" for j in range(PIVOTS)]])
 
-    met = large.hint("merge").join(pivots, "node").select("node", "key", "size", "sketch", *[F.col(f"p{j}.sketch").alias(f"s{j}") for j in range(PIVOTS)])
+    met = large.join(pivots, "node").select("node", "key", "size", "sketch", *[F.col(f"p{j}.sketch").alias(f"s{j}") for j in range(PIVOTS)])
     fields = "node long, key long, size long, sketch binary, " + ", ".join(f"m{j} boolean" for j in range(PIVOTS))
     met = saved(met.mapInArrow(near, fields))
     sums = met.groupBy("node").agg(*[F.sum(F.col(f"m{j}").cast("long")).alias(f"n{j}") for j in range(PIVOTS)])
     most = F.greatest(*[f"n{j}" for j in range(PIVOTS)])
     best = F.coalesce(*[F.when(F.col(f"n{j}") == most, F.lit(j)) for j in range(PIVOTS)])
     chosen = saved(sums.join(pivots, "node").select("node", best.alias("best"), most.alias("many"), F.coalesce(*[F.when(best == j, F.col(f"p{j}.key")) for j in range(PIVOTS)]).alias("pivot")))
-    at = met.hint("merge").join(chosen, "node").select(
+    at = met.join(chosen, "node").select(
         "node", "key", "size", "sketch", "pivot", (F.col("size") - F.col("many")).alias("rest"), F.coalesce(*[F.when(F.col("best") == j, F.col(f"m{j}")) for j in range(PIVOTS)]).alias("near")
     )
     at = saved(at)
@@ -227,19 +227,20 @@ def _around_pivots(large: DataFrame, threshold: float, small: int) -> tuple[Data
     own = F.array(F.pmod(F.xxhash64("key", F.lit(5)), parts).cast("int"))
     dealt = at.filter(F.col("rest").between(1, small)).select("node", "key", "sketch", "near", F.explode(F.when(F.col("near"), own).otherwise(F.sequence(F.lit(0), parts - 1))).alias("part"))
     others = dealt.groupBy("node", "part").applyInArrow(lambda t: _others(t, threshold), "a long, b long")
-    return edges.unionByName(others).distinct(), at.filter(F.col("rest") > small).select("node", "key", "size", "sketch")
+    return edges.unionByName(others), at.filter(F.col("rest") > small).select("node", "key", "size", "sketch")
 
 
 def _groups(sets: DataFrame, threshold: float, small: int, depth: int) -> DataFrame:
-    """Candidate edges between sets (key, sketch, paths) from the chosen-path recursion."""
+    """Candidate edges between sets (key, sketch, paths) from the chosen-path recursion; some repeat."""
     spark = sets.sparkSession
     rows = sets.select(F.explode("paths").alias("node"), "key")
     sketches = sets.select("key", "sketch")
     edges = None
     for level in range(depth):
-        # written by itself, so that the join has a plain exchange on each side and a heavy node's rows can be split
+        # written by itself: its size is known, so that Spark broadcasts it while it is small, and beyond that the join has a
+        # plain exchange on each side, where a heavy node's rows can be split
         sizes = saved(rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1"))
-        full = saved(rows.join(sizes.hint("merge"), "node").join(sketches.hint("merge"), "key").select("node", "key", "size", "sketch"))
+        full = saved(rows.join(sizes, "node").join(sketches.hint("merge"), "key").select("node", "key", "size", "sketch"))
         last = level == depth - 1
         left = None
         now = full.filter(F.col("size") <= small)
@@ -250,7 +251,7 @@ def _groups(sets: DataFrame, threshold: float, small: int, depth: int) -> DataFr
             if last:
                 now = now.unionByName(left.select(*now.columns))
         dealt = _blocks(now, "size", small).select("node", "lo", "hi", "part", "key", "sketch")
-        found = dealt.groupBy("node", "lo", "hi").applyInArrow(lambda t: _candidates(t, threshold), "a long, b long").distinct()
+        found = dealt.groupBy("node", "lo", "hi").applyInArrow(lambda t: _candidates(t, threshold), "a long, b long")
         edges = found if edges is None else edges.unionByName(found)
         if last or left is None or left.isEmpty():
             break
