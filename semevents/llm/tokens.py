@@ -23,6 +23,8 @@ _PUNCTUATION = np.ones(256, dtype=bool)
 _PUNCTUATION[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: What each byte adds to its word's hash; separators nothing.
+_ADDS = {bare: np.where(no_word, U(0), _BYTE[_LOWER]) for bare, no_word in ((False, _SPACE), (True, _PUNCTUATION))}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -82,6 +84,7 @@ class Words:
         self.raw = raw
         starts, sums = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
         separates = _PUNCTUATION if bare else _SPACE
+        adds = _ADDS[bare]
         carry = 0  # bytes of a word that the block before has begun
         for a in range(0, len(raw), BLOCK):
             part = raw[a : a + BLOCK]
@@ -96,13 +99,12 @@ class Words:
             head = int(begin[0]) if len(begin) else len(part)
             if carry and head:
                 own = int(np.argmin(word[:head])) if not word[:head].all() else head
-                more = (_BYTE[_LOWER[part[:own]]] * _powers(own + 1)[:own]).sum(keepdims=True, dtype=np.uint64)
+                more = (adds[part[:own]] * _powers(own + 1)[:own]).sum(keepdims=True, dtype=np.uint64)
                 next(x for x in reversed(sums) if len(x))[-1:] += more * U(pow(_BASE, carry, 1 << 64))
             if len(begin):
                 spans = np.diff(begin, append=len(part))
-                place = np.arange(head, len(part)) - np.repeat(begin, spans)
-                v = _BYTE[_LOWER[part[head:]]] * _powers(int(spans.max()) + 1)[place]
-                v[~word[head:]] = 0
+                place = np.arange(head, len(part), dtype=np.int32) - np.repeat(begin.astype(np.int32), spans)
+                v = adds[part[head:]] * _powers(int(spans.max()) + 1)[place]
                 starts.append(begin + a)
                 sums.append(np.add.reduceat(v, begin - head))
                 carry = len(part) - int(begin[-1]) if word[begin[-1] :].all() else 0
