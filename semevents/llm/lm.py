@@ -20,6 +20,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from math import ceil, log2
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batched, remainder, saved
+from .common import batched, release, remainder, saved
 from .tokens import U, _offsets, mix, words
 
 #: Filter bits for each training token, probes for each level, levels for each doubling of a count.
@@ -42,6 +43,9 @@ LEAST_SEGMENT = 2048
 #: Tokens that make up at least one in so many of all tokens go to the workers with their exact counts: there can't
 #: be more than so many. The others are joined.
 HEADS = 1 << 20
+#: Rounds in which texts are dealt to the filter's segments, all rows in one of them: a round's questions are deleted before
+#: the next one, so that they take a part of the disk only.
+ROUNDS = 4
 #: n-grams that a counting task holds before it passes them on: 12 bytes each, some five times that while they are sorted.
 HELD = 1 << 19
 END, BEGIN = U(0xE4D0), U(0xB361)
@@ -138,6 +142,12 @@ class Asked:
         self.two, self.back = np.unique(pairs(_before(tokens, ends), tokens), return_inverse=True)
         self.begins = np.concatenate(([0], ends[:-1])).astype(np.int64)
 
+    def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All distinct n-grams in order, and where among them those of ``uniq`` and ``two`` are."""
+        one = mix(self.uniq)
+        all_, at = np.unique(np.concatenate((one, self.two)), return_inverse=True)
+        return all_, at[: len(one)], at[len(one) :]
+
     def codes(self, single: np.ndarray, both: np.ndarray) -> np.ndarray:
         """Levels of the token before, of the pair and of the token, for each token; there are as many beginnings as ends."""
         out = np.empty((len(self.inv), 3), dtype=np.uint8)
@@ -282,7 +292,7 @@ def count(docs: DataFrame, text_col: str = "text", broadcast_bytes: int = BROADC
 
     What reaches the driver: HEADS tokens at most, and the filter if it has ``broadcast_bytes`` at most.
     """
-    table = saved(_count_tokens(batched(docs), text_col))
+    table = saved(_count_tokens(batched(docs), text_col), tidy=True)
 
     def middles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -297,7 +307,7 @@ def count(docs: DataFrame, text_col: str = "text", broadcast_bytes: int = BROADC
     top = max(SEGMENT_BITS, ceil(log2(max(total, 1) / SEGMENT_TOKENS)))
     size = max(LEAST_SEGMENT // 8, ceil(BITS * total / (8 << top))) * 8
     sc = docs.sparkSession.sparkContext
-    segments = saved(_segments(docs, text_col, top, size))
+    segments = saved(_segments(docs, text_col, top, size), tidy=True)
     shared = None
     if size << top <= broadcast_bytes * 8:
         bits = np.zeros((1 << top, size // 8), dtype=np.uint8)
@@ -370,10 +380,12 @@ def look(docs: DataFrame, model: Counted, text_col: str = "text") -> Looked:
                 yield pa.RecordBatch.from_arrays([*columns, _cells(body, ends, each), pa.array([f"{unit}-{done}"] * n)], names=[*kept.values(), "_key", "_n", "_known", "_log", "_tail", "_times", "_body", "_unit"])
                 done += n
 
-    rows = saved(source.mapInArrow(run, f"{fields}, _body binary, _unit string"))
-    if shared is None:
-        rows = saved(_dealt(rows, model, fields))
-    return Looked(rows, kept)
+    looked = lambda part: saved(part.mapInArrow(run, f"{fields}, _body binary, _unit string"))
+    if shared is not None:
+        return Looked(looked(source), kept)
+    turn = F.pmod(F.xxhash64("_text"), F.lit(ROUNDS))
+    parts = [_dealt(looked(source.filter(turn == i)), model, fields) for i in range(ROUNDS)]
+    return Looked(reduce(DataFrame.unionByName, parts), kept)
 
 
 def _cells(values: np.ndarray, ends: np.ndarray, each: int) -> pa.Array:
@@ -383,7 +395,8 @@ def _cells(values: np.ndarray, ends: np.ndarray, each: int) -> pa.Array:
 
 
 def _dealt(rows: DataFrame, model: Counted, fields: str) -> DataFrame:
-    """``rows`` with levels in place of tokens: each unit's distinct n-grams are asked where their segment is.
+    """The table ``rows`` with levels in place of tokens, written; ``rows`` is deleted. Each unit's distinct n-grams are
+    asked where their segment is, and their levels come back in the order of the n-grams.
 
     The questions to a segment stream past its bits, so one that is asked very often takes no more room.
     """
@@ -391,50 +404,74 @@ def _dealt(rows: DataFrame, model: Counted, fields: str) -> DataFrame:
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for unit, tokens, ends in _units(batch.column(0), batch.column(1)):
-                x = Asked(tokens, ends)
-                grams = np.unique(np.concatenate((mix(x.uniq), x.two)))
+            for unit, first, tokens, ends in _parts(batch.column(0), batch.column(1), batch.column(2)):
+                grams = Asked(tokens, ends).grams()[0]
                 seg = segment(grams, top)
-                first = np.flatnonzero(np.append(True, seg[1:] != seg[:-1]))
-                cut = pa.py_buffer((np.append(first, len(grams)) * 8).astype(np.int32))
-                data = pa.Array.from_buffers(pa.binary(), len(first), [None, cut, pa.py_buffer(grams)])
-                yield pa.RecordBatch.from_arrays([pa.array(seg[first]), pa.array(np.ones(len(first), np.int32)), pa.array([unit] * len(first)), data], ["seg", "kind", "unit", "data"])
+                begin = np.flatnonzero(np.append(True, seg[1:] != seg[:-1]))
+                cut = pa.py_buffer((np.append(begin, len(grams)) * 8).astype(np.int32))
+                data = pa.Array.from_buffers(pa.binary(), len(begin), [None, cut, pa.py_buffer(grams)])
+                same = lambda v: pa.array(np.full(len(begin), v, np.int32))  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([pa.array(seg[begin]), same(1), pa.array([unit] * len(begin)), same(first), same(len(ends)), data], ["seg", "kind", "unit", "first", "rows", "data"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, bits = None, None
-        for batch in batches:
-            units, grams, levels = [], [], []
-            for seg, kind, unit, data in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
-                if seg != own:
-                    own, bits = seg, None
-                if kind == 0:
-                    bits = np.frombuffer(data, dtype=np.uint8)
-                    continue
-                asked = np.frombuffer(data, dtype=np.uint64)
-                units.append(unit)
-                grams.append(data)
-                levels.append((probe(bits, size, asked) if bits is not None else np.zeros(len(asked), np.uint8)).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(units, pa.string()), pa.array(grams, pa.binary()), pa.array(levels, pa.binary())], ["unit", "grams", "levels"])
-
-    asked = rows.select("_unit", "_body").mapInArrow(ask, "seg long, kind int, unit string, data binary")
-    held = model.segments.select("seg", F.lit(0).alias("kind"), F.lit("").alias("unit"), F.col("bits").alias("data"))
-    replies = saved(held.unionByName(asked).repartition("seg").sortWithinPartitions("seg", "kind").mapInArrow(answer, "unit string, grams binary, levels binary"))
+        return answers(batches, size)
+
+    asked = rows.select("_unit", "_key", "_body").mapInArrow(ask, "seg long, kind int, unit string, first int, rows int, data binary")
+    held = model.segments.select("seg", F.lit(0).alias("kind"), F.lit("").alias("unit"), F.lit(0).alias("first"), F.lit(0).alias("rows"), F.col("bits").alias("data"))
+    replies = saved(held.unionByName(asked).repartition("seg").sortWithinPartitions("seg", "kind").mapInArrow(answer, "unit string, first int, rows int, seg long, levels binary"), tidy=True)
     names = [f.name for f in rows.drop("_unit").schema]
     at = names.index("_body")
 
     def put(left: pa.Table, right: pa.Table) -> pa.Table:
         left = left.select([*names, "_unit"])
-        grams = np.frombuffer(b"".join(right["grams"].to_pylist()), dtype=np.uint64)
-        levels = np.frombuffer(b"".join(right["levels"].to_pylist()), dtype=np.uint8)
-        order = np.argsort(grams, kind="stable")
-        grams, levels = grams[order], levels[order]
+        place = np.array([int(k.rsplit("-", 1)[1]) for k in left["_key"].to_pylist()])
+        left = left.take(pa.array(np.argsort(place)))
+        right = right.sort_by([("first", "ascending"), ("seg", "ascending")])  # as they were asked: by n-gram
+        first, many = right["first"].to_numpy(), right["rows"].to_numpy()
         body = left["_body"].combine_chunks()
-        tokens, ends = _joined(body)
-        x = Asked(tokens, ends)
-        find = lambda h: levels[np.searchsorted(grams, h)]
-        return left.set_column(at, "_body", _cells(x.codes(find(mix(x.uniq)), find(x.two)), ends, 3))
+        begin = np.flatnonzero(np.append(True, first[1:] != first[:-1]))
+        codes, cuts = [], []
+        for a, b in zip(begin, [*begin[1:], len(first)], strict=True):
+            tokens, ends = _joined(body.slice(int(first[a]), int(many[a])))
+            x = Asked(tokens, ends)
+            _, single, two = x.grams()
+            levels = np.frombuffer(b"".join(right["levels"].slice(int(a), int(b - a)).to_pylist()), dtype=np.uint8)
+            codes.append(x.codes(levels[single], levels[two]))
+            cuts.append(np.diff(ends, prepend=0))
+        return left.set_column(at, "_body", _cells(np.concatenate(codes), np.cumsum(np.concatenate(cuts)), 3))
+
+    out = saved(rows.groupBy("_unit").cogroup(replies.groupBy("unit")).applyInArrow(put, f"{fields}, _body binary, _unit string"), tidy=True)
+    release(rows, replies)
+    return out
 
-    return rows.groupBy("_unit").cogroup(replies.groupBy("unit")).applyInArrow(put, f"{fields}, _body binary, _unit string")
+
+def answers(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """(unit, first, rows, seg, levels) for questions in order of segments, each segment's bits (kind 0) before them.
+
+    All that a batch asks a segment is asked at once: a unit has few n-grams in each of many segments.
+    """
+    own, bits = None, None
+    for batch in batches:
+        seg, asks = batch.column(0).to_numpy(), batch.column(1).to_numpy() == 1
+        cuts = _offsets(batch.column(5)).astype(np.int64)
+        data = np.frombuffer(batch.column(5).buffers()[2] or b"", dtype=np.uint8)
+        levels = np.zeros(int(np.diff(cuts)[asks].sum()) // 8, dtype=np.uint8)
+        done = 0
+        begin = np.flatnonzero(np.append(True, seg[1:] != seg[:-1])) if len(seg) else []
+        for a, b in zip(begin, [*begin[1:], len(seg)], strict=True):
+            if seg[a] != own:
+                own, bits = seg[a], None
+            if not asks[a]:  # a segment's bits come first
+                bits = data[cuts[a] : cuts[a + 1]].copy()
+                a += 1
+            asked = data[cuts[a] : cuts[b]].copy().view(np.uint64)
+            if bits is not None and len(asked):
+                levels[done : done + len(asked)] = probe(bits, size, asked)
+            done += len(asked)
+        each = np.append(0, np.cumsum(np.diff(cuts)[asks] // 8)).astype(np.int32)
+        replies = pa.Array.from_buffers(pa.binary(), len(each) - 1, [None, pa.py_buffer(each), pa.py_buffer(levels)])
+        mask = pa.array(asks)
+        yield pa.RecordBatch.from_arrays([*[batch.column(i).filter(mask) for i in (2, 3, 4, 0)], replies], ["unit", "first", "rows", "seg", "levels"])
 
 
 def _joined(body: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -444,12 +481,14 @@ def _joined(body: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data.copy().view(np.uint64), (cuts[1:] - cuts[0]) // 8
 
 
-def _units(unit: pa.Array, body: pa.Array) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
-    """Rows that follow each other in one unit: tokens and ends. A unit that is cut is asked for twice, no matter."""
+def _parts(unit: pa.Array, key: pa.Array, body: pa.Array) -> Iterator[tuple[str, int, np.ndarray, np.ndarray]]:
+    """Rows that follow each other in one unit: its name, which of its rows is the first, tokens and ends. A unit that is
+    cut by batches asks in parts."""
     names = unit.to_pylist()
     first = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1])] if names else []
     for a, b in zip(first, [*first[1:], len(names)], strict=True):
-        yield names[a], *_joined(body.slice(a, b - a))
+        row = int(key[a].as_py().rsplit("-", 1)[1]) - int(names[a].rsplit("-", 1)[1])
+        yield names[a], row, *_joined(body.slice(a, b - a))
 
 
 def _triples(body: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -32,11 +32,22 @@ def scratch_path(spark: SparkSession, kind: str = "tables") -> str:
     return f"{scratch_dir(spark)}/{kind}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back."""
+#: Whether Spark deletes the shuffle files of a query as soon as it has ended, not once they are collected as garbage.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def saved(df: DataFrame, tidy: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back. ``tidy``: its shuffle files go once it is written."""
     spark = df.sparkSession
     path = scratch_path(spark)
-    df.write.parquet(path)
+    before = spark.conf.get(_TIDY, None)
+    if tidy:
+        spark.conf.set(_TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if tidy:
+            spark.conf.unset(_TIDY) if before is None else spark.conf.set(_TIDY, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch = path
     return out

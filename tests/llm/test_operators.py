@@ -2,17 +2,20 @@
 
 import json
 import math
+import os
 import re
 import textwrap
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from semevents import scratch
 from semevents.llm import boosting, components, decontaminate, jaccard, kd_shards, language, licenses, lm, neighbours, pieces, quality, queries, tokens, tool_chat
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, score double, leaks string, ids string, key string"
@@ -277,6 +280,25 @@ def test_lm_dealt_levels_are_the_broadcast_ones(docs, empty, monkeypatch):
     assert lm.classify(empty, broadcast_bytes=0).count() == 0
 
 
+def test_lm_asks_a_segment_once_a_batch(monkeypatch):
+    calls = []
+    monkeypatch.setattr(lm, "probe", lambda bits, size, grams, base=None: calls.append(len(grams)) or (grams % np.uint64(7)).astype(np.uint8))
+    data = [b"\1" * 8, *[np.array([7 * i + 1, 7 * i + 3], dtype=np.uint64).tobytes() for i in range(100)]]
+    batch = pa.RecordBatch.from_arrays([pa.array([5] * 101), pa.array([0] + [1] * 100, pa.int32()), pa.array([str(i) for i in range(101)]), pa.array([0] * 101, pa.int32()), pa.array([1] * 101, pa.int32()), pa.array(data, pa.binary())], ["seg", "kind", "unit", "first", "rows", "data"])
+    out = [r for b in lm.answers(iter([batch, batch.slice(1)]), 64) for r in b.to_pylist()]
+    assert calls == [200, 200]
+    assert [(r["unit"], r["seg"], r["levels"]) for r in out] == [(str(i), 5, b"\1\3") for i in range(1, 101)] * 2
+
+
+def test_lm_dealt_rounds_leave_no_questions(spark, docs):
+    model = lm.count(docs, broadcast_bytes=0)
+    root = scratch.scratch_dir(spark).removeprefix("file:") + f"/tables/{spark.sparkContext.applicationId}"
+    before = set(os.listdir(root))
+    looked = lm.look(docs, model)
+    assert len(set(os.listdir(root)) - before) == lm.ROUNDS  # the tokens and the replies of a round are gone
+    assert looked.rows.count() == docs.count()
+
+
 def test_lm_keeps_clashing_columns(docs):
     odd = docs.select("doc_id", "text", F.lit(1).alias("_key"), F.lit(2).alias("score"), F.lit(3).alias("_n"), F.lit("x").alias("a.b"))
     out = lm.score(odd, lm.train(odd))
