@@ -1,7 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Items and texts are cut into passages. Terms are the items' words, weighted by how rare they are among all passages
-of the corpus. A distributed randomised SVD of TF-IDF passages gives a latent space; every window of every text is
+of the corpus. A distributed randomised SVD of all TF-IDF passages gives a latent space; every window of every text is
 put into it and compared by cosine with every passage of the items. Candidates are then checked word by word: the
 longest common subsequence of the item and the text around the window, and the item's answer (its last words, or a
 column of its own). A close match is a leak by itself, a looser one (a paraphrase) if the answer is there as well.
@@ -18,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batched, saved, widened
+from .common import batched, widened
 from .tokens import U, words
 
 #: Words of a passage; a window is two of them that follow each other.
 PASSAGE = 16
 LATENT, EXTRA, POWER = 64, 16, 2
-#: Documents whose passages the latent space is fitted on, beside all items: those with the smallest hash of the id.
-FIT_DOCS = 2000
+#: Terms whose sums a worker sends in one row.
+BLOCK_TERMS = 64
 COSINE = 0.4
 CLOSE, LOOSE, ANSWER = 0.7, 0.5, 0.8
 #: Words at an item's end that count as its answer, if it has none of its own.
@@ -154,68 +154,91 @@ def _back(entries, y: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def _fit(docs: DataFrame, terms, items: list[Item], idf: np.ndarray, id_col: str, text_col: str, fit_docs: int) -> np.ndarray:
-    """The latent space: terms x LATENT, by randomised SVD with power steps over the fit passages.
+def _slots(w, own: np.ndarray, at: np.ndarray, k: np.ndarray, row: np.ndarray, none: int) -> np.ndarray:
+    """The terms in each passage's places; ``none`` where a word is no term."""
+    slots = np.full((len(row), PASSAGE), none, dtype=np.int32)
+    slots[own, (at - w.begins[row[own]]) % PASSAGE] = k
+    return slots
+
+
+def _step(slots: np.ndarray, weighted: np.ndarray, idf: np.ndarray, total: np.ndarray) -> int:
+    """Add A'A q to ``total`` but for its rows' factor idf, and return the rows, A being the passages' TF-IDF rows of length
+    one. ``weighted``: q times idf, and a row of zeros for no term."""
+    order = np.sort(slots, axis=1)
+    again = order[:, 1:] == order[:, :-1]
+    times = np.ones(slots.shape, dtype=np.int32)
+    for j in range(1, PASSAGE):
+        times[:, j] += again[:, j - 1] * times[:, j - 1]
+    # a term that is there n times adds (n idf) ** 2: the first n odd numbers add up to n ** 2
+    square = (np.append(idf**2, 0.0).take(order) * (2 * times - 1)).sum(axis=1)
+    y = np.empty((len(slots), weighted.shape[1]), dtype=np.float32)
+    for a in range(0, len(slots), 128):  # so few that what is gathered stays in the processor's cache
+        y[a : a + 128] = weighted.take(slots[a : a + 128], axis=0).sum(axis=1)
+    y /= np.maximum(square, 1e-12).astype(np.float32)[:, None]
+    flat = slots.ravel()
+    place = np.argsort(flat if len(idf) >= 1 << 15 else flat.astype(np.int16), kind="stable")
+    term = flat[place]
+    some = int(np.searchsorted(term, len(idf)))
+    for a in range(0, some, 2048):
+        t = term[a : min(a + 2048, some)]
+        first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+        total[t[first]] += np.add.reduceat(y.take(place[a : a + len(t)] // PASSAGE, axis=0), first, axis=0)
+    return int((square > 0).sum())
 
-    Each pass over the passages is a Spark job: workers send sums of terms x (LATENT + EXTRA) numbers, whose size the
-    items bound. The items' passages weigh as much as the corpus passages together.
-    """
-    spark = docs.sparkSession
-    size = len(idf)
-    mark = F.xxhash64(id_col)
-    last = docs.select(mark.alias("h")).orderBy("h").limit(fit_docs).agg(F.max("h")).first()[0]
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = terms.value
-        for batch in batches:
-            for _, _, w in words(batch.column(0), bare=True):
-                at, k = t.find(w.hash)
-                yield pa.RecordBatch.from_arrays([pa.array([_passages(w)[0][at].astype(np.int64).tobytes()], pa.binary()), pa.array([k.astype(np.int64).tobytes()], pa.binary())], ["p", "k"])
+def _fit(docs: DataFrame, terms, items: list[Item], idf: np.ndarray, text_col: str) -> np.ndarray:
+    """The latent space: terms x LATENT, by randomised SVD of all passages of the corpus and of the items.
 
-    few = docs.filter(mark <= F.lit(last)).select(text_col) if last is not None else docs.select(text_col).limit(0)
-    table = saved(few.mapInArrow(cut, "p binary, k binary"))
+    Power steps over the items' passages give a first space; one step over every passage gives the space that is used.
+    Workers send sums of terms x (LATENT + EXTRA) numbers, whose size the items bound, a few terms a row. The items'
+    passages weigh as much as the corpus passages together.
+    """
+    size = len(idf)
     own = [i.terms[a : a + PASSAGE] for i in items for a in range(0, len(i.terms), PASSAGE)]
     mine = _rows(np.repeat(np.arange(len(own)), [len(x) for x in own]), np.concatenate(own), idf)
     width = min(LATENT + EXTRA, size)
-
-    def summed(m: np.ndarray, gram: bool) -> np.ndarray:
-        shared = spark.sparkContext.broadcast(m)
-        shape = (m.shape[1], m.shape[1]) if gram else m.shape
-
-        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m = shared.value
-            total, n = np.zeros(shape), 0
-            for batch in batches:
-                for p, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    a = _rows(np.frombuffer(p, np.int64), np.frombuffer(k, np.int64), idf)
-                    y = _times(a, m)
-                    total += y.T @ y if gram else _back(a, y, size)
-                    n += a[3]
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([n]), pa.array([total.tobytes()], pa.binary())], ["k", "n", "m"])
-
-        def add(t: pa.Table) -> pa.Table:
-            total = np.zeros(shape)
-            for x in t["m"].to_pylist():
-                total += np.frombuffer(x).reshape(shape)
-            return pa.table({"n": pa.array([sum(t["n"].to_pylist())]), "m": pa.array([total.tobytes()], pa.binary())})
-
-        # fit_docs documents make a few partial sums; each is of the size that the items bound
-        got = table.coalesce(8).mapInArrow(part, "k long, n long, m binary").groupBy("k").applyInArrow(add, "n long, m binary").collect()
-        y = _times(mine, m)
-        ours = y.T @ y if gram else _back(mine, y, size)
-        if not got:
-            return ours
-        return np.frombuffer(got[0]["m"]).reshape(shape) + ours * (got[0]["n"] / mine[3])
-
     q = np.linalg.qr(np.random.Generator(np.random.PCG64(11)).normal(size=(size, width)))[0]
     for _ in range(POWER):
-        q = np.linalg.qr(summed(q, False))[0]
-    values, vectors = np.linalg.eigh(summed(q, True))
-    return q @ vectors[:, np.argsort(-values)[:LATENT]]
-
+        q = np.linalg.qr(_back(mine, _times(mine, q), size))[0]
+    shared = docs.sparkSession.sparkContext.broadcast((np.append(q * idf[:, None], np.zeros((1, width)), axis=0).astype(np.float32), idf))
 
-def flag_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None, keep_text: bool = True, cosine: float = COSINE, fit_docs: int = FIT_DOCS) -> DataFrame:
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = terms.value
+        weighted, idf = shared.value
+        total, n = np.zeros((size, width)), 0
+        for batch in batches:
+            for _, _, w in words(batch.column(0), bare=True):
+                passage, row, _ = _passages(w)
+                at, k = t.find(w.hash)
+                slots = _slots(w, passage[at], at, k, row, size)
+                for a in range(0, len(slots), 1 << 16):  # a very long text takes no more room
+                    n += _step(slots[a : a + (1 << 16)], weighted, idf, total)
+        if n:
+            cuts = range(0, size, BLOCK_TERMS)
+            yield pa.RecordBatch.from_arrays([pa.array(list(cuts), pa.int64()), pa.array([n] * len(cuts), pa.int64()), pa.array([total[a : a + BLOCK_TERMS].tobytes() for a in cuts], pa.binary())], ["k", "n", "m"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k, n, total = 0, 0, None
+        for batch in batches:
+            k = batch.column(0)[0].as_py()
+            n += sum(batch.column(1).to_pylist())
+            for x in batch.column(2).to_pylist():
+                total = np.frombuffer(x) + (0 if total is None else total)
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["k", "n", "m"])
+
+    got = docs.select(text_col).mapInArrow(part, "k long, n long, m binary").groupBy("k").applyInArrow(add, "k long, n long, m binary").collect()  # terms x (LATENT + EXTRA) numbers
+    y = _back(mine, _times(mine, q), size)
+    if got:
+        corpus = np.concatenate([np.frombuffer(r["m"]).reshape(-1, width) for r in sorted(got, key=lambda r: r["k"])])
+        y = corpus * idf[:, None] + y * (got[0]["n"] / mine[3])
+    # of all symmetric matrices that map q to y, y (q'y)^-1 y' has the least rank
+    inner = q.T @ y
+    values, vectors = np.linalg.eigh((inner + inner.T) / 2)
+    good = values > 1e-9 * values[-1]
+    return np.linalg.svd(y @ (vectors[:, good] / np.sqrt(values[good])), full_matrices=False)[0][:, :LATENT]
+
+
+def flag_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None, keep_text: bool = True, cosine: float = COSINE) -> DataFrame:
     """``docs`` with ``leaks``: item_id, cosine, lcs (share of the item's words in order), answer (share of its answer).
 
     An item has leaked into a text if the longest common subsequence of it and the text around a window that is
@@ -224,8 +247,8 @@ def flag_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     benchmark is empty; items that are null or without words leak nowhere; a repeated item is reported under each
     of its rows' ids. Rows are kept as they are, repeated ones alike; a column named ``leaks`` is replaced.
 
-    Words, document frequencies and latent space are those of all items; they are held by the driver and each worker, so
-    the benchmark's words must fit there. ``fit_docs`` documents beside all items shape the space.
+    Words are those of all items, document frequencies and latent space those of every passage of the texts and items; they
+    are held by the driver and each worker, so the benchmark's words must fit there. Rows need no id; ``id_col`` is not read.
     """
     docs = batched(docs).drop("leaks")
     kind = "array<struct<item_id:bigint,cosine:double,lcs:double,answer:double>>"
@@ -236,7 +259,7 @@ def flag_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     terms = docs.sparkSession.sparkContext.broadcast(Terms(vocabulary))  # the items' words
     df, passages = _frequencies(docs, terms, text_col, len(vocabulary))
     idf = np.log((1 + passages) / (1 + df)) + 1e-3
-    space = (_fit(docs, terms, items, idf, id_col, text_col, fit_docs) * idf[:, None]).astype(np.float32)
+    space = (_fit(docs, terms, items, idf, text_col) * idf[:, None]).astype(np.float32)
     out, made = docs, []
     for a in range(0, len(items), ITEMS):
         name = f"_{uuid.uuid4().hex}"  # a name that no column of the input has
@@ -331,8 +354,7 @@ def _leaks(w, t: Terms, items: list[Item], space: np.ndarray, passages: Passages
     if not len(at):
         return {}
     own = passage[at]
-    slots = np.full((len(row), PASSAGE), len(space), dtype=np.int32)  # words that are no terms add nothing
-    slots[own, (at - w.begins[row[own]]) % PASSAGE] = k
+    slots = _slots(w, own, at, k, row, len(space))  # words that are no terms add nothing
     padded = np.concatenate((space, np.zeros((1, space.shape[1]), dtype=np.float32)))
     sums = np.zeros((len(row) + 1, space.shape[1]), dtype=np.float32)
     for lo in range(0, len(row), 128):

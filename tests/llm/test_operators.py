@@ -387,6 +387,40 @@ def test_leaks_are_brute_force(leaky, monkeypatch):
     assert plain(decontaminate.find_leaks(docs, benchmark).collect()) == plain(found)
 
 
+def test_latent_space_is_of_every_passage(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "LATENT", 8)
+    monkeypatch.setattr(decontaminate, "EXTRA", 4)
+    rng = np.random.default_rng(5)
+    names = ["wort%d" % i for i in range(50)]
+    texts = [" ".join(rng.choice(names, 1 + i % 40)) for i in range(2500)] + ["unbekannt", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    benchmark = spark.createDataFrame([(i, " ".join(rng.choice(names, 30))) for i in range(6)], "item_id bigint, text string")
+    items, vocabulary = decontaminate._read_items(benchmark, "item_id", "text", None)
+    idf = rng.random(len(vocabulary)) + 0.5
+    at = {n: int(np.searchsorted(vocabulary, next(tokens.words(pa.array([n]), bare=True))[2].hash[0])) for n in names}
+    at = {n: k for n, k in at.items() if k < len(vocabulary) and n in " ".join(r["text"] for r in benchmark.collect()).split()}
+
+    def gram(passages):
+        x = np.zeros((len(passages), len(vocabulary)))
+        for i, p in enumerate(passages):
+            np.add.at(x[i], p, 1)
+        x = x[x.any(axis=1)] * idf
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        return x.T @ x, len(x)
+
+    cut = lambda ws: [ws[a : a + 16] for a in range(0, len(ws), 16)]
+    corpus, n = gram([[at[t] for t in p if t in at] for text in texts if text for p in cut(text.split())])
+    mine, m = gram([p for i in items for p in cut(i.terms.tolist())])
+    q = np.linalg.qr(np.random.Generator(np.random.PCG64(11)).normal(size=(len(vocabulary), 12)))[0]
+    for _ in range(decontaminate.POWER):
+        q = np.linalg.qr(mine @ q)[0]
+    y = (corpus + mine * n / m) @ q
+    values, vectors = np.linalg.eigh(y @ np.linalg.inv(q.T @ y) @ y.T)
+    want = vectors[:, np.argsort(-values)[:8]]
+    got = decontaminate._fit(docs, spark.sparkContext.broadcast(decontaminate.Terms(vocabulary)), items, idf, "text")
+    assert np.abs(got @ got.T - want @ want.T).max() < 1e-4
+
+
 def test_leaks_spread_over_the_whole_item(spark):
     rng = np.random.default_rng(12)
     word = lambda n: ["".join(x) for x in rng.choice(list("abcdefgh"), (n, 8))]
