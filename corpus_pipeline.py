@@ -23,7 +23,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language: those without a letter, or without a language that stands out, go."""
     model = pieces.read_model(PIECE_MODEL)
-    langs, p = language.train(docs, model)
+    langs, p = language.train(docs, model, rows=None)
     named = language.identify(docs, model, langs, p)
     return named.filter((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_LANGUAGE)).select(*docs.columns)
 

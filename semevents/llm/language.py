@@ -11,7 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 import sys
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import chain
 
@@ -171,8 +171,9 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def train(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn: Column | None = None, rows: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
-    """Languages and their piece probabilities (pieces x languages), from at most ``rows`` documents with a language.
+def train(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn: Column | None = None, rows: int | None = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
+    """Languages and their piece probabilities (pieces x languages), from at most ``rows`` documents with a language, or from
+    all of them (None).
 
     Rows with a null id, text or language teach nothing. What reaches the driver is pieces x languages numbers.
     """
@@ -180,16 +181,18 @@ def train(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str =
     sample = batched(docs).filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     if learn is not None:
         sample = sample.filter(learn)
-    picked = sample.select(id_col).orderBy(F.xxhash64(id_col), id_col).limit(rows)
-    sample = sample.select(id_col, text_col, F.col(lang_col).alias("lang")).join(F.broadcast(picked.distinct()), id_col).select(text_col, "lang")  # at most `rows` ids
+    if rows is not None:
+        picked = sample.select(id_col).orderBy(F.xxhash64(id_col), id_col).limit(rows).distinct()
+        sample = sample.join(F.broadcast(picked), id_col)  # at most `rows` ids
+    sample = sample.select(text_col, F.col(lang_col).alias("lang"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c: Counter = Counter()
+            by: dict[str, Counter] = defaultdict(Counter)
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                c.update((lang, w) for w in words_of(text))
-            keys = list(c)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([c[k] for k in keys], pa.int64())], ["lang", "word", "n"])
+                by[lang].update(words_of(text))
+            for lang, c in by.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["lang", "word", "n"])
 
     table = saved(sample.mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     langs = sorted(r["lang"] for r in table.select("lang").distinct().collect())

@@ -625,6 +625,17 @@ def test_language(spark, model):
     assert language.classify(both.limit(0), model).count() == 0
 
 
+def test_pipeline_languages_are_learned_from_every_document(spark, model, monkeypatch):
+    docs = spark.createDataFrame([(i, "der hund " * 5, "de") for i in range(9)] + [(50, "le chien", "fr"), (None, "the dog", "en"), (51, "the dog", None)], "doc_id bigint, text string, lang string")
+    langs, p = language.train(docs, model, rows=None)
+    assert langs == ["de", "fr"]
+    assert (p == language.train(docs, model, rows=1000)[1]).all()
+    learned = []
+    monkeypatch.setattr(language, "train", lambda *a, **k: learned.append(k["rows"]) or (langs, p))
+    corpus_pipeline.known_language(spark, docs, "")
+    assert learned == [None]
+
+
 def test_quality(spark, docs, empty):
     sf = "/root/testdata/sf0.01"
     d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
