@@ -148,6 +148,13 @@ def test_html():
     ]
 
 
+def test_html_unfinished_references(spark):
+    pages = spark.createDataFrame([(1, "<h1>a &amp;&am</h1><p>b &amp</p><p>c &quo &</p>")], "page_id bigint, html string")
+    out = to_html_compact(from_html(pages), ("page_id",)).first()["html"]
+    assert out == "<h1>a &amp;&amp;am</h1><p>b &amp;</p><p>c &amp;quo &amp;</p>"
+    assert [e[4] for e in html_events("<h1>a &am</h1><p>b &amp</p>") if e[0] == "text"] == ["a &am", "b &"]
+
+
 def test_stream_is_batch(spark, tmp_path):
     schema = "doc_id bigint, chunk_seq int, chunk string, eof boolean"
     rows = [(0, 1, "lo\n- *a", False), (0, 0, "# Hel", False), (1, 0, "x", True), (0, 0, "dup", False), (0, 2, "* b", False), (0, 3, "", True), (1, 0, "again", True), (1, 5, "late", False)]
